@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.llm import chat, licenses, mixing, packing, quality, sharding
+from panelmill.llm import chat, licenses, mixing, ngram_join, packing, quality, sharding
 
 #: Shards of the production table.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -37,6 +37,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), SHARDS).select("doc_id", "slot", "shard")
 
@@ -52,8 +56,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_license_scans, op7_sharding, op8_mixing_targets,
-                            op10_chat_formatting)}
+    f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_license_scans, op6_ngram_jaccard_join, op7_sharding,
+                            op8_mixing_targets, op10_chat_formatting)}
 
 
 def oracle() -> dict[str, str]:
