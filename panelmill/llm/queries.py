@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.llm import chat, licenses, mixing, ngram_join, packing, quality, sharding
+from panelmill.llm import chat, licenses, mixing, ngram_join, packing, quality, sharding, suffix_dedup
 
 #: Shards of the production table.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -49,6 +49,10 @@ def op8_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text")
     planted = spark.createDataFrame(chat.PLANTED, rows.schema)
@@ -57,7 +61,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_license_scans, op6_ngram_jaccard_join, op7_sharding,
-                            op8_mixing_targets, op10_chat_formatting)}
+                            op8_mixing_targets, op9_suffix_array_dedup, op10_chat_formatting)}
 
 
 def oracle() -> dict[str, str]:
