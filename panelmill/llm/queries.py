@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.llm import chat, licenses, mixing, ngram_join, packing, quality, sharding, suffix_dedup
+from panelmill.llm import chat, licenses, media, mixing, ngram_join, packing, quality, sharding, suffix_dedup
 
 #: Shards of the production table.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -29,6 +29,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -60,7 +64,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_license_scans, op6_ngram_jaccard_join, op7_sharding,
+    f.__name__: f for f in (op1_quality_classifier, op2_media_columns, op3_best_fit_packing, op4_license_scans, op6_ngram_jaccard_join, op7_sharding,
                             op8_mixing_targets, op9_suffix_array_dedup, op10_chat_formatting)}
 
 
