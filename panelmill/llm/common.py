@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # Spark drops the shuffle files behind df once the driver has collected the plan that made them
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,3 +105,56 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """At most n - 1 pairs that connect what the pairs (i, j) connect."""
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+            if len(out) == n - 1:
+                break
+    return out
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Runs of equal leading columns (integers) in sorted batches, over the batches' borders; one run is in memory."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            key = tuple(keys[lo])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def blocks(rows: DataFrame, key: str, n: str, block: int) -> DataFrame:
+    """Adds the pairs of parts (i <= j) that a row of a group of n rows belongs to, and its own part.
+
+    A group of at most `block` rows is one part; a larger one is split by hash, and each pair of parts is a block of
+    its own, so no task gets a whole large group.
+    """
+    parts = F.ceil(F.col(n) / F.lit(float(block))).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", key), parts).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    return rows.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import components, scatter_width, settle
+from panelmill.llm.common import blocks, components, groups, scatter_width, settle, spanning
 from panelmill.llm.shingles import minhash, permutations, shingle_set
 
 
@@ -90,47 +90,6 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return total[i, j].astype(np.int64)
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """At most n - 1 pairs that connect what the pairs (i, j) connect."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-            if len(out) == n - 1:
-                break
-    return out
-
-
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Runs of equal leading columns (integers) in sorted batches, over the batches' borders; one run is in memory."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            key = tuple(keys[lo])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(lo, hi - lo))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, width)
 
@@ -154,18 +113,6 @@ def fingerprints(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> Da
     return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, node long, signature binary")
 
 
-def _blocks(rows: DataFrame, key: str, n: str, block: int) -> DataFrame:
-    """Adds the pairs of parts (i <= j) that a row of a group of n rows belongs to, and its own part.
-
-    A group of at most `block` rows is one part; a larger one is split by hash, and each pair of parts is a block of
-    its own, so no task gets a whole large group.
-    """
-    parts = F.ceil(F.col(n) / F.lit(float(block))).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", key), parts).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    return rows.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
-
-
 def candidate_edges(nodes: DataFrame, s: Settings) -> DataFrame:
     """Edges (a, b) that connect all pairs which share a band and pass the Bayesian bound; not the pairs themselves.
 
@@ -176,14 +123,14 @@ def candidate_edges(nodes: DataFrame, s: Settings) -> DataFrame:
     banded = nodes.select("node", F.explode(keys).alias("band"))
     many = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     # a node of which all bands are its own has no partner: the rest get their signature back
-    rows = _blocks(banded.join(many, "band"), "band", "n", s.block).join(nodes.select("node", "signature"), "node")
+    rows = blocks(banded.join(many, "band"), "band", "n", s.block).join(nodes.select("node", "signature"), "node")
     wide = scatter_width(nodes.sparkSession)
     dealt = rows.select("band", "i", "j", "part", "node", "signature").repartition(wide, "band", "i", "j").sortWithinPartitions("band", "i", "j", "part", "node")
     needed = least_matches(s)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for group in _groups(batches, 3):
+        for group in groups(batches, 3):
             if group.num_rows > 1:
                 i, j = _pairs(group, s, needed)
                 node = group.column("node").to_numpy()
@@ -227,12 +174,12 @@ def verify(docs: DataFrame, members: DataFrame, s: Settings, id_col: str, text_c
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sets, pa.binary())], names=["root", "n", "node", "many", "signature", "shingles"])
 
     sets = texts.mapInArrow(shingle, "root long, n long, node long, many long, signature binary, shingles binary")
-    rows = _blocks(sets, "root", "n", s.block // 2).select("root", "i", "j", "part", "node", "many", "signature", "shingles")
+    rows = blocks(sets, "root", "n", s.block // 2).select("root", "i", "j", "part", "node", "many", "signature", "shingles")
     dealt = rows.repartition(scatter_width(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "part", "node")
     needed = least_matches(s)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
+        for group in groups(batches, 3):
             # equal rows of documents bring a node more than once
             node, first = np.unique(group.column("node").to_numpy(), return_index=True)
             if len(node) < 2:

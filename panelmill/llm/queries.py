@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.llm import chat, licenses, media, mixing, ngram_join, packing, quality, sharding, suffix_dedup
+from panelmill.llm import chat, licenses, media, mixing, neighbours, ngram_join, packing, quality, sharding, suffix_dedup
 
 #: Shards of the production table.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -41,6 +41,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
 
@@ -64,7 +68,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_media_columns, op3_best_fit_packing, op4_license_scans, op6_ngram_jaccard_join, op7_sharding,
+    f.__name__: f for f in (op1_quality_classifier, op2_media_columns, op3_best_fit_packing, op4_license_scans, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_sharding,
                             op8_mixing_targets, op9_suffix_array_dedup, op10_chat_formatting)}
 
 
