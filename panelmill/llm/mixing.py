@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +79,40 @@ def mix_to_targets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("inside")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"),
                        *[F.col(f"extra_{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def take_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The rows of docs as the mix takes them, columns as in docs: whole copies, and a last one cut after its words taken.
+
+    Rows find their decision by id and a hash of text and source; equal rows, which get different decisions, are
+    numbered. n_chars, if there is one, is the length of a cut text. Rows of which nothing is taken go.
+    """
+    def number(df: DataFrame) -> DataFrame:
+        alike = Window.partitionBy("mix_id", "mix_hash")
+        return df.withColumn("mix_nth", F.row_number().over(alike.orderBy(*[c for c in ("taken",) if c in df.columns] or ["mix_hash"])))
+
+    keyed = docs.withColumn("mix_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn(
+        "mix_hash", F.xxhash64(text_col, source_col))
+    taken = mix_to_targets(keyed, id_col, text_col, source_col, extra=["mix_id", "mix_hash"], **settings)
+    taken = number(taken).where("taken > 0").select("mix_id", "mix_hash", "mix_nth", F.expr("taken div size").alias("mix_whole"), (F.col("taken") % F.col("size")).alias("mix_rest"))
+    rows = number(keyed).join(taken, ["mix_id", "mix_hash", "mix_nth"])
+    copies = F.sequence(F.lit(1), (F.col("mix_whole") + (F.col("mix_rest") > 0).cast("long")))
+    rows = rows.withColumn("mix_copy", F.explode(copies)).withColumn("mix_cut", F.col("mix_copy") > F.col("mix_whole"))
+    cut = F.udf(cut_words, "string", useArrow=True)(F.when(F.col("mix_cut"), F.col(text_col)), F.col("mix_rest"))
+    rows = rows.withColumn("mix_part", cut)
+    out = {text_col: F.when(F.col("mix_cut"), F.col("mix_part")).otherwise(F.col(text_col))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("mix_cut"), F.length("mix_part").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def cut_words(text: str | None, words: int) -> str | None:
+    """The text up to the end of its word number `words`."""
+    if text is None:
+        return None
+    end = 0
+    for k, m in enumerate(re.finditer(WORD, text), 1):
+        end = m.end()
+        if k == words:
+            break
+    return text[:end]

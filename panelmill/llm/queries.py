@@ -6,19 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from panelmill.llm import chat, licenses, media, mixing, neighbours, ngram_join, packing, quality, sharding, suffix_dedup
+from panelmill.llm.tokens import tokenizer_path
 
 #: Shards of the production table.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
-#: Name of the tokenizer's file among the public tokenizers.
-TOKENIZER = "byte_bpe_50k.json"
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,9 +60,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(rows.unionByName(planted))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_media_columns, op3_best_fit_packing, op4_license_scans, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_sharding,
-                            op8_mixing_targets, op9_suffix_array_dedup, op10_chat_formatting)}
+                            op8_mixing_targets, op9_suffix_array_dedup, op10_chat_formatting, pipeline)}
 
 
 def oracle() -> dict[str, str]:
