@@ -138,6 +138,9 @@ def format_chats(df: DataFrame, with_output: bool = False) -> DataFrame:
     if with_output:
         fields += ", formatted string, loss_spans array<struct<start: long, end: long>>"
 
+    def frame(out: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(out).assign(conv_id=pd.array([r["conv_id"] for r in out], "Int64"))
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for pdf in runs(batches, ["conv_id"]):
@@ -150,10 +153,10 @@ def format_chats(df: DataFrame, with_output: bool = False) -> DataFrame:
                     {"start": s.text_start, "end": s.text_end} for (r, _), s in zip(turns, spans) if r == "assistant"]}
             out.append(row)
             if len(out) >= 1000:
-                yield pd.DataFrame(out).astype({"conv_id": "Int64"})
+                yield frame(out)
                 out = []
         if out:
-            yield pd.DataFrame(out).astype({"conv_id": "Int64"})
+            yield frame(out)
 
     # as text: pandas would turn a column of long with nulls into floats
     rows = df.select(F.col("conv_id").cast("long").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,11 +32,15 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # Spark drops the shuffle files behind df once the driver has collected the plan that made them
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that nothing refers to any more: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scatter_width(spark: SparkSession, df: DataFrame | None = None, per_scan: int = 2) -> int:
     """Partitions for a keyed hand-over: the session's shuffle width, or more where the input has many splits."""
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,7 +28,7 @@ class Settings:
     audited: int = 128
     recall: float = 0.999
     #: Vectors of a cell; labels with more are split by signs of projections, several times over.
-    cell: int = 2048
+    cell: int = 16384
     #: Chance that no split keeps a pair at the threshold together.
     missed: float = 1e-3
     seed: int = 3
@@ -131,15 +131,30 @@ class Graph:
             if changed < 0.002 * self.n:
                 return
 
-    def enlarge(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that longer lists add: a list full of links is enlarged to all that its links reach.
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs i < j of the lists, each similarity taken again in double precision."""
+        row = np.repeat(np.arange(self.n), self.k)
+        to, near = self.ids.reshape(-1), self.near.reshape(-1)
+        some = (to >= 0) & (near >= self.s.threshold - 1e-4)
+        row, to = row[some], to[some]
+        pair = np.unique(np.minimum(row, to) * self.n + np.maximum(row, to))
+        i, j = pair // self.n, pair % self.n
+        good = np.zeros(len(i), bool)
+        for lo in range(0, len(i), 1 << 16):
+            a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+            good[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", self.exact[a], self.exact[b]) >= self.s.threshold
+        return i[good], j[good]
+
+    def enlarge(self) -> Links:
+        """The links of the lists, where a list full of links is enlarged to all that its links reach.
 
-        Neighbours of neighbours, followed to the end along links (i, j), are the candidates of every vector in
-        the group they form; each group's similarities are taken a few rows at a time.
+        Neighbours of neighbours, followed to the end along links, are the candidates of every vector in the group
+        that they form.
         """
+        i, j = self.links()
         full = np.zeros(self.n, bool)
-        np.logical_or.at(full, i, self.near[i, -1] >= self.s.threshold - 1e-4)
-        np.logical_or.at(full, j, self.near[j, -1] >= self.s.threshold - 1e-4)
+        full[i[self.near[i, -1] >= self.s.threshold - 1e-4]] = True
+        full[j[self.near[j, -1] >= self.s.threshold - 1e-4]] = True
         parent = np.arange(self.n)
         while True:
             low = parent.copy()
@@ -149,63 +164,59 @@ class Graph:
             if (low == parent).all():
                 break
             parent = low
-        found = []
-        for root in np.unique(parent[full]).tolist():
-            group = np.flatnonzero(parent == root)
-            own = self.exact[group]
+        saturated = np.isin(parent, parent[full])
+        members = np.flatnonzero(saturated)
+        members = members[np.argsort(parent[members], kind="stable")]
+        groups = np.split(members, np.flatnonzero(np.diff(parent[members])) + 1) if len(members) else []
+        alone = ~saturated[i]
+        return Links(self, i[alone], j[alone], groups)
+
+    def audit(self, links: Links) -> float:
+        """Of the true links of some vectors, the part that was found."""
+        found = np.zeros(self.n, np.int64)
+        for i, j in links.pairs():
+            np.add.at(found, i, 1)
+            np.add.at(found, j, 1)
+        rows = self.rng.choice(self.n, min(self.s.audited, self.n), replace=False)
+        true = 0
+        for lo in range(0, len(rows), 32):
+            true += np.count_nonzero(self.exact[rows[lo : lo + 32]] @ self.exact.T >= self.s.threshold + 1e-12)
+        true -= len(rows)
+        return min(1.0, float(found[rows].sum()) / true) if true else 1.0
+
+
+@dataclass
+class Links:
+    """Linked pairs i < j: single ones, and those in groups, which are taken a few rows at a time."""
+
+    graph: Graph
+    i: np.ndarray
+    j: np.ndarray
+    groups: list[np.ndarray]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield self.i, self.j
+        for group in self.groups:
+            own = self.graph.exact[group]
             step = max(1, (1 << 20) // len(group))
             for lo in range(0, len(group), step):
-                at, to = np.nonzero(own[lo : lo + step] @ own.T >= self.s.threshold)
-                ahead = to > at + lo
-                found.append(group[at[ahead] + lo] * self.n + group[to[ahead]])
-        if not found:
-            return i, j
-        pair = np.unique(np.concatenate([i * self.n + j, *found]))
-        return pair // self.n, pair % self.n
+                at, to = np.nonzero(own[lo : lo + step] @ own[lo:].T >= self.graph.s.threshold)
+                ahead = to > at
+                a, b = group[at[ahead] + lo], group[to[ahead] + lo]
+                yield np.minimum(a, b), np.maximum(a, b)
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Linked pairs i < j, each similarity taken again in double precision."""
-        row = np.repeat(np.arange(self.n), self.k)
-        to, near = self.ids.reshape(-1), self.near.reshape(-1)
-        some = (to >= 0) & (near >= self.s.threshold - 1e-4)
-        row, to = row[some], to[some]
-        pair = np.unique(np.minimum(row, to) * self.n + np.maximum(row, to))
-        i, j = pair // self.n, pair % self.n
-        good = np.zeros(len(i), bool)
-        for lo in range(0, len(i), 1 << 16):
-            a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-            good[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", self.exact[a], self.exact[b]) >= self.s.threshold
-        return self.enlarge(i[good], j[good])
 
-    def audit(self, i: np.ndarray, j: np.ndarray) -> float:
-        """Of the true links of some vectors, the part that is among the pairs."""
-        rows = self.rng.choice(self.n, min(self.s.audited, self.n), replace=False)
-        known = np.unique(i * self.n + j)
-        true = found = 0
-        for lo in range(0, len(rows), 32):
-            part = rows[lo : lo + 32]
-            at, to = np.nonzero(self.exact[part] @ self.exact.T >= self.s.threshold + 1e-12)
-            a, b = np.minimum(part[at], to), np.maximum(part[at], to)
-            other = a != b
-            true += int(other.sum())
-            found += int(np.isin(a[other] * self.n + b[other], known).sum())
-        return found / true if true else 1.0
-
-
-def linked_pairs(vectors: np.ndarray, s: Settings = Settings(), tries: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Pairs i < j of unit vectors with similarity >= threshold, and the recall of the last audit."""
-    if len(vectors) < 2:
-        none = np.zeros(0, np.int64)
-        return none, none, 1.0
+def linked(vectors: np.ndarray, s: Settings = Settings(), tries: int = 4) -> tuple[Links, float]:
+    """The links of unit vectors (two at least), and the recall of the last audit; a poor graph is started and refined again."""
     graph = Graph(vectors, s)
     for _ in range(tries):
         graph.start()
         graph.descend()
-        i, j = graph.links()
-        recall = graph.audit(i, j)
+        found = graph.enlarge()
+        recall = graph.audit(found)
         if recall >= s.recall:
             break
-    return i, j, recall
+    return found, recall
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -250,7 +261,7 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "vec_
     cells = keyed.select("node", "keys", "label", "width", F.posexplode("keys").alias("turn", "key")).select(
         "node", "keys", "turn", F.xxhash64("label", "width", "turn", "key").alias("cell"))
     many = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    split = blocks(cells.join(many, "cell"), "cell", "n", s.cell if s.cell < 1024 else s.cell // 2)
+    split = blocks(cells.join(many, "cell"), "cell", "n", max(1, s.cell // 2))
     split = split.join(nodes.select("node", "v", F.col("many").alias("weight")), "node").select("cell", "i", "j", "part", "turn", "node", "weight", "keys", "v")
     dealt = split.repartition(scatter_width(df.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "part", "node")
 
@@ -263,16 +274,20 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "vec_
             flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
             turn = group.column("turn")[0].as_py()
-            i, j, recall = linked_pairs(unit(flat.reshape(n, -1)), s)
-            if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-                across = part[i] != part[j]
-                i, j = i[across], j[across]
-            before = (keys[i, :turn] == keys[j, :turn]).any(axis=1)
-            i, j = i[~before], j[~before]
+            found, recall = linked(unit(flat.reshape(n, -1)), s)
+            across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
             links = np.zeros(n, np.int64)
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            span = spanning(n, i, j)
+            span: list[tuple[int, int]] = []
+            for i, j in found.pairs():
+                new = ~(keys[i, :turn] == keys[j, :turn]).any(axis=1)
+                if across:
+                    new &= part[i] != part[j]
+                i, j = i[new], j[new]
+                np.add.at(links, i, weight[j])
+                np.add.at(links, j, weight[i])
+                if len(i):
+                    more = np.array(span, np.int64).reshape(-1, 2)
+                    span = spanning(n, np.concatenate([more[:, 0], i]), np.concatenate([more[:, 1], j]))
             has = np.flatnonzero(links)
             a = [int(node[x]) for x, _ in span] + node[has].tolist()
             b = [int(node[y]) for _, y in span] + [None] * len(has)

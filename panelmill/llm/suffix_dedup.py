@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
@@ -9,12 +10,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.bwt import NONE, least_owner
-from panelmill.llm.common import scatter_width, settle
+from panelmill.llm.common import scatter_width, settle, sweep
 
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xBF58476D1CE4E5B9)
@@ -23,7 +25,7 @@ GRAM = 16
 #: Windows handled at once, and at most in one run of windows.
 BLOCK, LONGEST_RUN = 1 << 19, 256
 #: Entries announced together; bytes of texts whose runs travel together; bytes in one transform.
-ANNOUNCE, FLUSH, TRANSFORM = 1 << 19, 1 << 21, 1 << 20
+ANNOUNCE, FLUSH, TRANSFORM = 1 << 19, 1 << 21, 1 << 19
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -81,6 +83,14 @@ def _unsix(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _packed(what: object) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(what))
+
+
+def _unpacked(data: bytes) -> object:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+
+
 class _Announcer:
     """Collects the files of texts and says, bucket by bucket, which file came from which text."""
 
@@ -223,20 +233,29 @@ class _Flush:
         """(bucket, flush, kind, payload): kind 1 the texts, kind 0 their contents by bucket of their file."""
         if not self.docs:
             return
-        yield flush % buckets, flush, 1, pickle.dumps((self.docs, np.array(self.occurs, np.int64).reshape(-1, 3)))
+        yield flush % buckets, flush, 1, _packed((self.docs, np.array(self.occurs, np.int32).reshape(-1, 3)))
+        files, least, most = (np.array(x, np.int64) for x in (self.files, self.least, self.most))
         groups = defaultdict(list)
         for content, c in self.contents.items():
             groups[self.files[c] % buckets].append((content, c))
         for bucket, group in groups.items():
             number = np.array([c for _, c in group], np.int64)
-            yield bucket, flush, 0, pickle.dumps((number, np.array(self.files, np.int64)[number], np.array(self.least, np.int64)[number],
-                                                  np.array(self.most, np.int64)[number], [x for x, _ in group]))
+            low = least[number]
+            # differences of what is mostly alike, and the contents in one piece: these pack well
+            yield bucket, flush, 0, _packed((np.diff(number, prepend=0).astype(np.int32), files[number], low, most[number] - low,
+                                             np.array([len(x) for x, _ in group], np.int32), b"".join([x for x, _ in group])))
 
 
 _SENT = [("bucket", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())]
 _SENT_SQL = "bucket int, flush long, kind int, payload binary"
 
 
+def _contents(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    number, files, least, spread, sizes, joined = _unpacked(payload)
+    ends = np.cumsum(sizes).tolist()
+    return np.cumsum(number), files, least, least + spread, [joined[b - n : b] for b, n in zip(ends, sizes.tolist())]
+
+
 def _resolve(groups: list[tuple[int, tuple]], length: int) -> Iterator[tuple]:
     """For the contents of a bucket (flush, (numbers, files, least, most, contents)): rows of kind 2 that tell each flush
     in which of its contents' windows a smaller owner than the content's greatest is found."""
@@ -283,11 +302,17 @@ def _resolve(groups: list[tuple[int, tuple]], length: int) -> Iterator[tuple]:
         useful = seg[3][at] < most[row]
         if useful.any():
             at, row = at[useful], row[useful]
-            yield None, flush, 2, pickle.dumps(np.stack([number[row], seg[1][at], seg[2][at], seg[3][at]]))
+            yield None, flush, 2, _packed(np.stack([number[row], seg[1][at], seg[2][at], seg[3][at]]))
+
 
+def _row(doc_id: int | None, carry: str | None, size: int, kept: bytes, runs: int, with_text: bool) -> tuple:
+    """A row of the result."""
+    text = kept.decode("utf-8", "ignore") if with_text else None
+    return doc_id, carry, size, size - len(kept), runs, hashlib.sha256(kept).hexdigest(), text
 
-def _finish(docs: list[tuple], occurs: np.ndarray, told: list[np.ndarray], length: int) -> Iterator[tuple]:
-    """(doc_id, carry, bytes, kept bytes, removed runs) of each text of a flush."""
+
+def _finish(docs: list[tuple], occurs: np.ndarray, told: list[np.ndarray], length: int, with_text: bool) -> Iterator[tuple]:
+    """The rows of the result for the texts of a flush."""
     edge = [np.zeros(len(data) + 1, np.int32) for _, data, _ in docs]
     if told and len(occurs):
         seg = np.concatenate(told, axis=1)
@@ -305,7 +330,7 @@ def _finish(docs: list[tuple], occurs: np.ndarray, told: list[np.ndarray], lengt
     for (doc_id, data, carry), e in zip(docs, edge):
         gone = np.cumsum(e[:-1]) > 0
         runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
-        yield doc_id, carry, len(data), np.frombuffer(data, np.uint8)[~gone].tobytes(), runs
+        yield _row(doc_id, carry, len(data), np.frombuffer(data, np.uint8)[~gone].tobytes(), runs, with_text)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
@@ -331,27 +356,35 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     packed = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]), {"ignoreNullFields": "false"}) if keep else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("data"), packed.alias("carry"))
-    firsts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    firsts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
     lists = shared_files(rows.select("text_hash", "data"), length).groupBy(F.col("owner").alias("text_hash")).agg(F.collect_list("files").alias("files"))
     lists = settle(firsts.join(lists, "text_hash", "left"))
-    joined = rows.join(lists, "text_hash")
+    sweep(spark)
     copy = ~F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
-    plain = joined.where(copy | F.col("files").isNull())
-    gone = copy & (F.octet_length("data") >= length)
-    left = F.when(gone, F.lit(b"")).otherwise(F.col("data"))
-    plain = plain.select("doc_id", "carry", F.octet_length("data").cast("long").alias("n_bytes"), left.alias("kept"), gone.cast("long").alias("n_spans"))
-    buckets = scatter_width(spark, docs)
+    joined = rows.join(lists, "text_hash").withColumn("copy", copy).sortWithinPartitions("text_hash", "doc_id")
+    buckets = scatter_width(spark, docs, 4)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # numbered by task and order: the rows come sorted, so a task that runs again makes the same batches
         held, flush = _Flush(), TaskContext.get().partitionId() << 32
+        done, size = [], 0
         for b in batches:
-            for doc_id, data, extra, files in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3)):
-                held.add(doc_id, data.as_py(), extra, np.unique(_unsix(b"".join(files.as_py()))), length)
+            for doc_id, data, extra, files, again in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist()):
+                data = data.as_py()
+                if again or not files.is_valid:  # a copy of a text with a smaller id, or nothing shared
+                    gone = again and len(data) >= length
+                    done.append(_row(doc_id, extra, len(data), b"" if gone else data, int(gone), with_text))
+                    size += 100 + len(data) * with_text
+                else:
+                    held.add(doc_id, data, extra, np.unique(_unsix(b"".join(files.as_py()))), length)
+                if size >= FLUSH:
+                    yield _batch([(flush % buckets, flush, 3, _packed(done))], _SENT)
+                    done, size, flush = [], 0, flush + 1
                 if held.size >= FLUSH:
                     yield _batch(list(held.rows(buckets, flush)), _SENT)
                     held, flush = _Flush(), flush + 1
-        yield _batch(list(held.rows(buckets, flush)), _SENT)
+        yield _batch([(flush % buckets, flush, 3, _packed(done))] if done else [], _SENT)
+        yield _batch(list(held.rows(buckets, flush + 1)), _SENT)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = []
@@ -359,7 +392,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             through = []
             for bucket, flush, kind, payload in zip(*[c.to_pylist() for c in b.columns]):
                 if kind == 0:
-                    groups.append((flush, pickle.loads(payload)))
+                    groups.append((flush, _contents(payload)))
                 else:
                     through.append((bucket, flush, kind, payload))
             if through:
@@ -367,41 +400,39 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         if groups:
             yield _batch(list(_resolve(groups, length)), _SENT)
 
-    fields = [("doc_id", pa.int64()), ("carry", pa.string()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("n_spans", pa.int64())]
+    fields = [("doc_id", pa.int64()), ("carry", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+              ("kept_sha256", pa.string()), ("text", pa.string())]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, texts, told = None, None, []
 
         def out() -> pa.RecordBatch:
-            return _batch([(d, c, n, kept, k) for d, c, n, kept, k in _finish(*texts, told, length)], fields)
+            return _batch(list(_finish(*texts, told, length, with_text)), fields)
 
         for b in batches:
             for flush, kind, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                what = _unpacked(payload.as_py())
+                if kind == 3:
+                    yield _batch(what, fields)
+                    continue
                 if flush != last and texts is not None:
                     yield out()
                     texts, told = None, []
                 last = flush
                 if kind == 1:
-                    texts = pickle.loads(payload.as_py())
+                    texts = what
                 else:
-                    told.append(pickle.loads(payload.as_py()))
+                    told.append(what)
         if texts is not None:
             yield out()
 
-    ours = joined.where(~copy & F.col("files").isNotNull()).select("doc_id", "data", "carry", "files", "text_hash")
-    ours = ours.sortWithinPartitions("text_hash", "doc_id").drop("text_hash")
-    sent = ours.mapInArrow(send, _SENT_SQL).repartition(buckets, "bucket").mapInArrow(meet, _SENT_SQL)
-    sent = sent.repartition(buckets, "flush").sortWithinPartitions("flush", "kind")
-    done = plain.unionByName(sent.mapInArrow(finish, "doc_id long, carry string, n_bytes long, kept binary, n_spans long"))
-    out = done.select("doc_id", "carry", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans",
-                      F.sha2("kept", 256).alias("kept_sha256"), *([F.col("kept")] if with_text else []))
+    sent = joined.select("doc_id", "data", "carry", "files", "copy").mapInArrow(send, _SENT_SQL)
+    sent = sent.repartition(buckets, "bucket").mapInArrow(meet, _SENT_SQL).repartition(buckets, "flush").sortWithinPartitions("flush", "kind")
+    out = sent.mapInArrow(finish, "doc_id long, carry string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     if not with_text:
-        return out.drop("carry")
-    whole = F.udf(lambda data: bytes(data).decode("utf-8", "ignore"), "string", useArrow=True)
-    fine = F.when(F.col("n_spans") == 0, F.col("kept").cast("string")).otherwise(whole(F.when(F.col("n_spans") > 0, F.col("kept"))))
-    out = out.withColumn("text", fine)
+        return out.drop("carry", "text")
     if keep:
         schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
         out = out.withColumn("carry", F.from_json("carry", schema))
         out = out.select("*", *[F.col(f"carry.c{i}").alias(c) for i, c in enumerate(keep)])
-    return out.drop("carry", "kept")
+    return out.drop("carry")

@@ -536,18 +536,19 @@ def _write_pixels(w: Writer, argb: np.ndarray, width: int, o: Options, top: bool
     w.write(int(bool(cache)), 1)
     if cache:
         w.write(o.cache_bits, 4)
-    group_of = [0] * len(symbols)
+    group_of, groups = [0] * len(symbols), 1
     if top:
         w.write(int(o.cells is not None), 1)
         if o.cells is not None:
             w.write(o.cells - 2, 3)
             across, down = [(k + (1 << o.cells) - 1) >> o.cells for k in (width, n // width)]
             cells = np.arange(across * down) % 2
+            groups = int(cells.max()) + 1
             _write_pixels(w, (cells << 8).astype(np.uint32), across, Options(), False)
             group_of = [int(cells[(s[0] // width >> o.cells) * across + (s[0] % width >> o.cells)]) for s in symbols]
     sizes = (256 + LENGTH_PREFIXES + len(cache), 256, 256, 256, DISTANCE_PREFIXES)
     books = []
-    for g in range(max(group_of, default=0) + 1):
+    for g in range(groups):
         counts = [Counter() for _ in sizes]
         for (_, kind, *v), own in zip(symbols, group_of):
             if own != g:
