@@ -142,7 +142,7 @@ def global_trees(panel: Panel, target: str, horizon: int, iterations: int = 10)
     """Boosted trees of Spark ML over all zones, for the last fold."""
     rows, names = training_rows(panel, target, horizon, static=True)
     fold, start, end = make_folds(panel.settings)[-1]
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows).persist()  # each boosting round reads them again
     model = GBTRegressor(labelCol="y", maxIter=iterations, stepSize=0.1, maxDepth=5, maxBins=64, seed=7).fit(vectors.where(F.col("hour_idx") < start))
     scored = model.transform(vectors.where((F.col("hour_idx") >= start) & (F.col("hour_idx") < end)))
     return scored.select(F.lit(fold).alias("fold"), "zone_id", "hour_idx", F.lit("global_gbm").alias("family"), clip(F.col("prediction"), None).alias("predicted"), F.col("y").alias("actual"))

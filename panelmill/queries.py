@@ -264,7 +264,7 @@ def _scenarios(panel: Panel) -> DataFrame:
 
 
 def _segments(panel: Panel) -> DataFrame:
-    shapes = segments.load_shapes(panel)
+    shapes = segments.load_shapes(panel).persist()  # one row per zone, read by every fit
     return segments.describe(panel, segments.cluster(shapes, segments.choose_k(segments.diagnostics(shapes))))
 
 
