@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Removes the shuffle files of a query once it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
@@ -31,16 +33,16 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # the written table replaces the shuffles it was made by; their files go as soon as it is complete
+    had = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if had is None else spark.conf.set(CLEANUP, had)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files that nothing refers to any more: it does so once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def scatter_width(spark: SparkSession, df: DataFrame | None = None, per_scan: int = 2) -> int:
     """Partitions for a keyed hand-over: the session's shuffle width, or more where the input has many splits."""
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))

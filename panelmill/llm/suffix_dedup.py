@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.bwt import NONE, least_owner
-from panelmill.llm.common import scatter_width, settle, sweep
+from panelmill.llm.common import scatter_width, settle
 
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xBF58476D1CE4E5B9)
@@ -359,7 +359,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     firsts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
     lists = shared_files(rows.select("text_hash", "data"), length).groupBy(F.col("owner").alias("text_hash")).agg(F.collect_list("files").alias("files"))
     lists = settle(firsts.join(lists, "text_hash", "left"))
-    sweep(spark)
     copy = ~F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
     joined = rows.join(lists, "text_hash").withColumn("copy", copy).sortWithinPartitions("text_hash", "doc_id")
     buckets = scatter_width(spark, docs, 4)
@@ -387,16 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         yield _batch(list(held.rows(buckets, flush + 1)), _SENT)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = []
-        for b in batches:
-            through = []
-            for bucket, flush, kind, payload in zip(*[c.to_pylist() for c in b.columns]):
-                if kind == 0:
-                    groups.append((flush, _contents(payload)))
-                else:
-                    through.append((bucket, flush, kind, payload))
-            if through:
-                yield _batch(through, _SENT)
+        groups = [(flush, _contents(payload)) for b in batches for flush, payload in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
         if groups:
             yield _batch(list(_resolve(groups, length)), _SENT)
 
@@ -426,9 +416,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         if texts is not None:
             yield out()
 
-    sent = joined.select("doc_id", "data", "carry", "files", "copy").mapInArrow(send, _SENT_SQL)
-    sent = sent.repartition(buckets, "bucket").mapInArrow(meet, _SENT_SQL).repartition(buckets, "flush").sortWithinPartitions("flush", "kind")
-    out = sent.mapInArrow(finish, "doc_id long, carry string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    # written, so that the texts' shuffle goes before the next; only contents are dealt by bucket, and finished rows not at all
+    sent = settle(joined.select("doc_id", "data", "carry", "files", "copy").mapInArrow(send, _SENT_SQL))
+    told = sent.where("kind = 0").repartition(buckets, "bucket").mapInArrow(meet, _SENT_SQL)
+    flushes = told.unionByName(sent.where("kind = 1")).select("bucket", "flush", "kind", "payload").repartition(buckets, "flush").sortWithinPartitions("flush", "kind")
+    rows_of = "doc_id long, carry string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    out = flushes.mapInArrow(finish, rows_of).unionByName(sent.where("kind = 3").mapInArrow(finish, rows_of))
     if not with_text:
         return out.drop("carry", "text")
     if keep:
