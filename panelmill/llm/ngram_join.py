@@ -210,6 +210,22 @@ def verify(docs: DataFrame, members: DataFrame, s: Settings, id_col: str, text_c
     return dealt.mapInArrow(work, "a long, b long, links long")
 
 
+def classes(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and the nodes: node, rep and text_hash (its least row), many, root (of its class), links."""
+    prints = settle(fingerprints(docs, s, id_col, text_col))
+    nodes = prints.where("node is not null").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.count("*").alias("many"), F.any_value("signature").alias("signature"))
+    nodes = settle(nodes.select("node", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("text_hash"), "many", "signature"))
+    near = settle(components(candidate_edges(nodes, s)))
+    sizes = near.groupBy("root").agg(F.count("*").alias("n"))
+    members = near.join(sizes, "root").join(nodes, "node")
+    found = settle(verify(docs, members, s, id_col, text_col))
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    roots = components(found.where("b is not null").select("a", "b"))
+    named = nodes.select("node", "rep", "text_hash", "many").join(roots, "node", "left").join(links, "node", "left")
+    return prints, named.withColumn("root", F.coalesce("root", "node"))
+
+
 def jaccard_join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash, class_id, n_links, kept.
 
@@ -227,18 +243,7 @@ def jaccard_join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_i
     Repeated rows link with each other; rows that share a doc_id are told apart by text. Other columns don't
     matter. An empty table gives an empty result.
     """
-    prints = settle(fingerprints(docs, s, id_col, text_col))
-    nodes = prints.where("node is not null").groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.count("*").alias("many"), F.any_value("signature").alias("signature"))
-    nodes = settle(nodes.select("node", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("text_hash"), "many", "signature"))
-    near = settle(components(candidate_edges(nodes, s)))
-    sizes = near.groupBy("root").agg(F.count("*").alias("n"))
-    members = near.join(sizes, "root").join(nodes, "node")
-    found = settle(verify(docs, members, s, id_col, text_col))
-    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("b is not null").select("a", "b"))
-    named = nodes.select("node", "rep", "many").join(roots, "node", "left").join(links, "node", "left")
-    named = named.withColumn("root", F.coalesce("root", "node"))
+    prints, named = classes(docs, s, id_col, text_col)
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = named.join(least, "root").select("node", "class_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rows = prints.select("doc_id", "text_hash", "node").join(named, "node", "left")
@@ -248,11 +253,17 @@ def jaccard_join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_i
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of docs without near copies: of each class the row with the least doc_id, once. Columns as in docs."""
-    kept = jaccard_join(docs, s).where("kept")
-    firsts = kept.groupBy("class_id").agg(F.min("text_hash").alias("text_hash")).select(
-        F.col("class_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    """The rows of docs without near copies: of each class one row, that of the least doc_id (null last), then text_hash.
+
+    A class is what links connect, not a class_id: rows without a doc_id, or with the doc_id of another text, stay if they
+    link with nothing. So do all rows without words. Columns as in docs.
+    """
+    prints, named = classes(docs, s, "doc_id", "text")
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_hash")).alias("least"))
+    firsts = least.select(F.col("least.rep").alias("kept_id"), F.col("least.text_hash").alias("kept_hash"), F.lit(True).alias("kept_once"))
+    alone = prints.where("node is null").select("doc_id", "text_hash", F.lit(False)).distinct()
+    stay = firsts.union(alone).withColumnRenamed("kept_hash", "stay_hash")
     rows = docs.withColumn("kept_hash", F.xxhash64("text"))
-    on = rows["doc_id"].eqNullSafe(firsts["kept_id"]) & (rows["kept_hash"] == firsts["kept_hash"])
-    rows = rows.join(firsts, on, "left_semi")
-    return rows.dropDuplicates(["doc_id", "kept_hash"]).select(*docs.columns)
+    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["kept_id"]) & (rows["kept_hash"] == stay["stay_hash"]))
+    rows = rows.withColumn("kept_row", F.when(F.col("kept_once"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["doc_id", "kept_hash", "kept_row"]).select(*docs.columns)

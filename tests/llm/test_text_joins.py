@@ -67,6 +67,24 @@ def test_one_document_of_each_group_stays(docs, rows):
     assert len({c for _, c, _ in brute_join(rows)}) <= len(kept)
 
 
+def test_one_row_of_each_component_stays(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "a"), (2, words, "b"), (1, words, "c"), (3, "one text of an id", None), (3, "quite another text of it", None), (3, "", None), (4, "", None),
+            (4, None, None), (None, "first without an id", "x"), (None, "second without an id", "y"), (None, words + " more", "z"), (None, "", None), (None, "", None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sets = shingle_sets(rows)
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = classes(len(rows), pairs)
+    assert len(kept) == len(set(root))
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(rows[i][:2] for i in set(root))
+
+
+def test_as_many_rows_as_components_stay(docs, rows):
+    sets = shingle_sets(rows)
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert ngram_join.keep_one(docs).count() == len(set(classes(len(rows), pairs)))
+
+
 def test_bound_keeps_similar_pairs():
     s = ngram_join.Settings()
     needed = ngram_join.least_matches(s)
