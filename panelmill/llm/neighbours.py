@@ -17,7 +17,7 @@ from panelmill.llm.common import blocks, components, groups, scatter_width, sett
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.98
-    #: Neighbours kept at first; a list that links fill is enlarged to all that its links reach.
+    #: Neighbours kept; where links fill a list, its vector and all that its links reach are searched for in the whole cell.
     neighbours: int = 10
     #: Random orders by signs of projections, cut into leaves, that the graph starts from.
     starts: int = 8
@@ -146,15 +146,12 @@ class Graph:
         return i[good], j[good]
 
     def enlarge(self) -> Links:
-        """The links of the lists, where a list full of links is enlarged to all that its links reach.
+        """The links of the lists; vectors whose lists links fill, and all that these reach, form groups.
 
-        Neighbours of neighbours, followed to the end along links, are the candidates of every vector in the group
-        that they form.
+        The lists of a group may lack links, to its own vectors or to others: they are found exactly.
         """
         i, j = self.links()
-        full = np.zeros(self.n, bool)
-        full[i[self.near[i, -1] >= self.s.threshold - 1e-4]] = True
-        full[j[self.near[j, -1] >= self.s.threshold - 1e-4]] = True
+        full = self.near[:, -1] >= self.s.threshold - 1e-4
         parent = np.arange(self.n)
         while True:
             low = parent.copy()
@@ -168,7 +165,7 @@ class Graph:
         members = np.flatnonzero(saturated)
         members = members[np.argsort(parent[members], kind="stable")]
         groups = np.split(members, np.flatnonzero(np.diff(parent[members])) + 1) if len(members) else []
-        alone = ~saturated[i]
+        alone = ~(saturated[i] | saturated[j])
         return Links(self, i[alone], j[alone], groups)
 
     def audit(self, links: Links) -> float:
@@ -185,9 +182,21 @@ class Graph:
         return min(1.0, float(found[rows].sum()) / true) if true else 1.0
 
 
+def exact_links(v: np.ndarray, rows: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All linked pairs i < j of unit vectors of which one at least is in rows, a few rows at a time."""
+    among = np.zeros(len(v), bool)
+    among[rows] = True
+    step = max(1, (1 << 20) // len(v))
+    for lo in range(0, len(rows), step):
+        at, to = np.nonzero(v[rows[lo : lo + step]] @ v.T >= threshold)
+        at = rows[at + lo]
+        once = (to > at) | ~among[to]
+        yield np.minimum(at, to)[once], np.maximum(at, to)[once]
+
+
 @dataclass
 class Links:
-    """Linked pairs i < j: single ones, and those in groups, which are taken a few rows at a time."""
+    """Linked pairs i < j: those of the lists, and those with a vector of a group, which are taken a few rows at a time."""
 
     graph: Graph
     i: np.ndarray
@@ -196,14 +205,8 @@ class Links:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield self.i, self.j
-        for group in self.groups:
-            own = self.graph.exact[group]
-            step = max(1, (1 << 20) // len(group))
-            for lo in range(0, len(group), step):
-                at, to = np.nonzero(own[lo : lo + step] @ own[lo:].T >= self.graph.s.threshold)
-                ahead = to > at
-                a, b = group[at[ahead] + lo], group[to[ahead] + lo]
-                yield np.minimum(a, b), np.maximum(a, b)
+        if self.groups:
+            yield from exact_links(self.graph.exact, np.concatenate(self.groups), self.graph.s.threshold)
 
 
 def linked(vectors: np.ndarray, s: Settings = Settings(), tries: int = 4) -> tuple[Links, float]:

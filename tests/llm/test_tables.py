@@ -205,6 +205,25 @@ def test_descent_recall():
     assert pairs <= true and len(pairs) >= 0.999 * len(true) and audit >= 0.999 and len(links.groups) == 1
 
 
+def linked_pairs(v, *args):
+    return {p for i, j in neighbours.linked(v, *args)[0].pairs() for p in zip(i.tolist(), j.tolist())}
+
+
+def true_pairs(v):
+    return set(zip(*[x.tolist() for x in np.nonzero(np.triu(v @ v.T >= 0.98, 1))]))
+
+
+def test_links_between_tight_groups():
+    rng = np.random.default_rng(6)
+    a = neighbours.unit(rng.normal(size=(1, 32)))
+    side = rng.normal(size=(1, 32))
+    side = neighbours.unit(side - (side @ a.T) * a)
+    centres = np.concatenate([a, 0.984 * a + (1 - 0.984**2) ** 0.5 * side])
+    v = neighbours.unit(np.repeat(centres, 20, axis=0) + rng.normal(size=(40, 32)) * 0.001)
+    v = np.concatenate([v, neighbours.unit(rng.normal(size=(100, 32)))])
+    assert len(true_pairs(v)) == 40 * 39 // 2 and linked_pairs(v) == true_pairs(v)
+
+
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=25))
 @settings(max_examples=5, deadline=None)
 def test_components(spark, edges):
