@@ -24,7 +24,8 @@ class Settings:
     leaf: int = 32
     sample: int = 8
     rounds: int = 12
-    #: Vectors whose neighbours an exact search finds too; the graph is refined again below this recall.
+    #: Vectors with links whose neighbours an exact search finds too; the graph is refined again below this recall,
+    #: and in the end all its vectors are searched exactly.
     audited: int = 128
     recall: float = 0.999
     #: Vectors of a cell; labels with more are split by signs of projections, several times over.
@@ -169,17 +170,26 @@ class Graph:
         return Links(self, i[alone], j[alone], groups)
 
     def audit(self, links: Links) -> float:
-        """Of the true links of some vectors, the part that was found."""
-        found = np.zeros(self.n, np.int64)
-        for i, j in links.pairs():
-            np.add.at(found, i, 1)
-            np.add.at(found, j, 1)
-        rows = self.rng.choice(self.n, min(self.s.audited, self.n), replace=False)
-        true = 0
-        for lo in range(0, len(rows), 32):
-            true += np.count_nonzero(self.exact[rows[lo : lo + 32]] @ self.exact.T >= self.s.threshold + 1e-12)
-        true -= len(rows)
-        return min(1.0, float(found[rows].sum()) / true) if true else 1.0
+        """The mean part of a vector's true links that was found, over vectors outside groups.
+
+        Vectors are taken at random until enough of them have links, or all are.
+        """
+        rest = np.ones(self.n, bool)
+        for group in links.groups:
+            rest[group] = False
+        found = np.bincount(links.i, minlength=self.n) + np.bincount(links.j, minlength=self.n)
+        rows = self.rng.permutation(np.flatnonzero(rest))
+        parts: list[float] = []
+        step = max(1, (1 << 20) // self.n)
+        for lo in range(0, len(rows), step):
+            own = rows[lo : lo + step]
+            near = (self.exact[own] @ self.exact.T >= self.s.threshold + 1e-12) & rest
+            near[np.arange(len(own)), own] = False
+            true = near.sum(axis=1)
+            parts += np.minimum(1.0, found[own] / np.maximum(true, 1))[true > 0].tolist()
+            if len(parts) >= self.s.audited:
+                break
+        return float(np.mean(parts)) if parts else 1.0
 
 
 def exact_links(v: np.ndarray, rows: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -210,7 +220,10 @@ class Links:
 
 
 def linked(vectors: np.ndarray, s: Settings = Settings(), tries: int = 4) -> tuple[Links, float]:
-    """The links of unit vectors (two at least), and the recall of the last audit; a poor graph is started and refined again."""
+    """The links of unit vectors (two at least), and their recall by the audit.
+
+    A poor graph is started and refined again; if the last one is poor, all its vectors are one group, searched exactly.
+    """
     graph = Graph(vectors, s)
     for _ in range(tries):
         graph.start()
@@ -218,8 +231,9 @@ def linked(vectors: np.ndarray, s: Settings = Settings(), tries: int = 4) -> tup
         found = graph.enlarge()
         recall = graph.audit(found)
         if recall >= s.recall:
-            break
-    return found, recall
+            return found, recall
+    none = np.zeros(0, np.int64)
+    return Links(graph, none, none, [np.arange(graph.n)]), 1.0
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

@@ -224,6 +224,13 @@ def test_links_between_tight_groups():
     assert len(true_pairs(v)) == 40 * 39 // 2 and linked_pairs(v) == true_pairs(v)
 
 
+def test_a_poor_graph_with_few_links_is_searched_exactly():
+    rng = np.random.default_rng(7)
+    base = neighbours.unit(rng.normal(size=(3000, 32)))
+    v = np.concatenate([base, neighbours.unit(base[:6] + rng.normal(size=(6, 32)) * 0.03)])
+    assert true_pairs(v) and linked_pairs(v, neighbours.Settings(starts=1, leaf=2, rounds=0)) == true_pairs(v)
+
+
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=25))
 @settings(max_examples=5, deadline=None)
 def test_components(spark, edges):
