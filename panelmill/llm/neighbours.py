@@ -248,8 +248,9 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "vec_
     Vectors of one label (not null) and one length link at a cosine of `threshold` or more. Equal vectors are one node from
     the start and link with each other. The nodes of a label are cut into cells by signs of random projections, so
     often that a linked pair shares a cell but with a small chance; a cell over its size is cut into parts, and each pair of
-    parts is a block. In a block NN-descent finds the links; it counts a pair only where the pair meets first, and
-    hands on counts and spanning edges, not pairs.
+    parts is a block. In a block NN-descent finds the links; the pairs of its lists are handed on from every block and count
+    once. Vectors of groups are searched for exactly in all their blocks: each pair counts where it meets first, and
+    counts and spanning edges are handed on, not pairs.
 
     Null vectors, zero vectors and those with null or non-finite components, or with a null label, link with nothing and are their own
     component. Repeated rows are rows that link. Other columns don't matter. An empty table gives an empty result.
@@ -287,15 +288,30 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "vec_
             n = group.num_rows
             if n < 2:
                 continue
+            node, weight = [group.column(c).to_numpy() for c in ("node", "weight")]
+            found, _ = linked(matrix(group, "v"), s)
+            hot = node[np.concatenate(found.groups)] if found.groups else node[:0]
+            swap = node[found.i] > node[found.j]
+            i, j = np.where(swap, found.j, found.i), np.where(swap, found.i, found.j)
+            none = [None] * len(hot)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (
+                node[i].tolist() + hot.tolist(), node[j].tolist() + none, weight[i].tolist() + none, weight[j].tolist() + none)], names=["a", "b", "of_a", "of_b"])
+
+    def matrix(group: pa.Table, column: str) -> np.ndarray:
+        flat = group.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return unit(flat.reshape(group.num_rows, -1))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 3):
+            n = group.num_rows
             part, node, weight = [group.column(c).to_numpy() for c in ("part", "node", "weight")]
-            flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            hot = np.flatnonzero(group.column("hot").to_numpy(zero_copy_only=False))
             keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
             turn = group.column("turn")[0].as_py()
-            found, recall = linked(unit(flat.reshape(n, -1)), s)
             across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
             links = np.zeros(n, np.int64)
             span: list[tuple[int, int]] = []
-            for i, j in found.pairs():
+            for i, j in exact_links(matrix(group, "v"), hot, s.threshold):
                 new = ~(keys[i, :turn] == keys[j, :turn]).any(axis=1)
                 if across:
                     new &= part[i] != part[j]
@@ -308,12 +324,26 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "vec_
             has = np.flatnonzero(links)
             a = [int(node[x]) for x, _ in span] + node[has].tolist()
             b = [int(node[y]) for _, y in span] + [None] * len(has)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(span) + links[has].tolist(), pa.int64()),
-                                              pa.array([recall] * len(a), pa.float64())], names=["a", "b", "links", "recall"])
-
-    found = settle(dealt.mapInArrow(work, "a long, b long, links long, recall double"))
-    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("b is not null").select("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(span) + links[has].tolist(), pa.int64())],
+                                             names=["a", "b", "links"])
+
+    found = settle(dealt.mapInArrow(work, "a long, b long, of_a long, of_b long"))
+    hot = settle(found.where("b is null").select(F.col("a").alias("node")).distinct())
+    pairs = found.where("b is not null").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(hot.withColumnRenamed("node", end), end, "left_anti")
+    pairs = settle(pairs)
+    edges = pairs.select("a", "b")
+    links = pairs.select(F.col("a").alias("node"), F.col("of_b").alias("links")).union(pairs.select("b", "of_a"))
+    if not hot.isEmpty():
+        flagged = split.join(hot.withColumn("hot", F.lit(True)), "node", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        near = flagged.join(flagged.where("hot").select("cell", "i", "j").distinct(), ["cell", "i", "j"])
+        near = near.select("cell", "i", "j", "part", "turn", "node", "weight", "keys", "v", "hot").repartition(scatter_width(df.sparkSession), "cell", "i", "j")
+        exact = settle(near.sortWithinPartitions("cell", "i", "j", "part", "node").mapInArrow(search, "a long, b long, links long"))
+        edges = edges.union(exact.where("b is not null").select("a", "b"))
+        links = links.union(exact.where("b is null").select("a", "links"))
+    links = links.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(edges)
     named = nodes.select("node", "rep", "many").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
     named = named.select("node", "component_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

@@ -231,6 +231,17 @@ def test_a_poor_graph_with_few_links_is_searched_exactly():
     assert true_pairs(v) and linked_pairs(v, neighbours.Settings(starts=1, leaf=2, rounds=0)) == true_pairs(v)
 
 
+def test_a_link_missed_in_one_cell_counts_in_another(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 16))
+    v = np.concatenate([base, base[:150] + rng.normal(size=(150, 16)) * 0.02])
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    s = neighbours.Settings(cell=300, missed=1e-9, starts=2, leaf=8, rounds=0, recall=0.0)
+    got = neighbours.near_duplicates(df, s).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute_links(rows)
+
+
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=25))
 @settings(max_examples=5, deadline=None)
 def test_components(spark, edges):
