@@ -115,8 +115,9 @@ class Scanner:
         """Each template found in the words of a text, with coverage and the first and last matched word's number.
 
         A template is tried wherever its words could reach the coverage: stretches of the text in which
-        its words follow one another by gaps below its length, cut into overlapping windows of twice the
-        length. That bound loses nothing: a match within twice the template's length lies in one window.
+        its words follow one another by gaps of at most twice its length, cut into windows of two and of three
+        times the length, each a length after the one before. A match within twice the template's length lies whole in
+        one of the wide windows; the narrow ones have fewer repeated words, which can't anchor.
         """
         if self.vocabulary.isdisjoint(words):
             return []
@@ -146,12 +147,15 @@ class Scanner:
     def _windows(places: list[int], n: int) -> Iterator[tuple[int, int]]:
         start = 0
         for k in range(1, len(places) + 1):
-            if k == len(places) or places[k] - places[k - 1] > n:
+            if k == len(places) or places[k] - places[k - 1] > 2 * n:
                 lo, hi = places[start], places[k - 1] + 1
-                while hi - lo > 2 * n:
-                    yield lo, lo + 2 * n
-                    lo += n
-                yield lo, hi
+                for wide in (2 * n, 3 * n):
+                    at = lo
+                    while hi - at > wide:
+                        yield at, at + wide
+                        at += n
+                    if wide == 2 * n or hi - lo > 2 * n:
+                        yield at, hi
                 start = k
 
 

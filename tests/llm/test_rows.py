@@ -94,6 +94,24 @@ def test_scan(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("kept, spread", [(0.85, 1.4), (0.85, 1.6), (0.9, 1.6), (1.0, 1.9)])
+def test_a_match_within_twice_the_length_is_found_at_every_offset(kept, spread):
+    template = [f"t{i}" for i in range(40)]
+    scanner = licenses.Scanner({"x": " ".join([*template, "the"])})
+    words = [w for i, w in enumerate(template) if i % 20 < round(20 * kept)]
+    places = np.linspace(0, spread * len(template) - 1, len(words)).astype(int).tolist()
+    text = ["other"] * (places[-1] + 1)
+    for i, w in zip(places, words):
+        text[i] = w
+    for offset in range(90):
+        assert scanner.scan(["the", *["other"] * offset, *text, "other", "the"]), offset
+
+
+def test_a_match_of_two_distant_halves_is_found():
+    template = [f"t{i}" for i in range(40)]
+    assert licenses.Scanner({"x": " ".join(template)}).scan(template[:17] + ["other"] * 42 + template[-17:])
+
+
 # ---------------------------------------------------------------- media
 
 
