@@ -27,7 +27,7 @@ def pad(data: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """The payload's bytes as samples of one or more WebP files, one after the other."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 4, 4)
-    return b"".join(webp.encode_flat(rows[lo : lo + ROWS]) for lo in range(0, len(rows), ROWS))
+    return b"".join(webp.encode_general(rows[lo : lo + ROWS]) for lo in range(0, len(rows), ROWS))
 
 
 def load(media: bytes) -> list[np.ndarray]:

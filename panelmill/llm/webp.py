@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -43,18 +44,19 @@ class Bits:
         self.data = data
         self.at = 0
         self.end = 8 * len(data)
+        halves = np.frombuffer(data + b"\0" * (16 - len(data) % 4), "<u4").astype(np.uint64)
+        #: The 64 bits from every 32nd on.
+        self.words: list[int] = (halves[:-1] | halves[1:] << np.uint64(32)).tolist()
 
     def read(self, n: int) -> int:
         lo = self.at
         if lo + n > self.end:
             raise BadImage("the data ends too soon")
         self.at += n
-        word = int.from_bytes(self.data[lo >> 3 : (lo + n + 7) >> 3], "little")
-        return (word >> (lo & 7)) & ((1 << n) - 1)
+        return (self.words[lo >> 5] >> (lo & 31)) & ((1 << n) - 1)
 
     def peek(self, n: int) -> int:
-        word = int.from_bytes(self.data[self.at >> 3 : (self.at + n + 7) >> 3], "little")
-        return (word >> (self.at & 7)) & ((1 << n) - 1)
+        return (self.words[self.at >> 5] >> (self.at & 31)) & ((1 << n) - 1)
 
 
 class Writer:
@@ -87,22 +89,31 @@ def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=16)
+def reversals(n: int) -> np.ndarray:
+    """The numbers of n bits, each with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
 class PrefixCode:
     def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        if not used:
-            used, lengths = [0], [1]
-        self.symbols = np.array(used, np.int64)
+        size = np.array(lengths)
+        self.symbols = np.flatnonzero(size)
+        if not len(self.symbols):
+            self.symbols, lengths = np.zeros(1, np.int64), [1]
         self.lengths = lengths
         self._table: list[tuple[int, int]] | None = None
-        if len(used) == 1:
+        if len(self.symbols) == 1:
             self.bits = self.fixed = 0
             return
-        sizes = [lengths[s] for s in used]
-        if sum(1 << (15 - n) for n in sizes) != 1 << 15:
+        self.sizes = size[self.symbols]
+        if int((1 << (15 - self.sizes)).sum()) != 1 << 15:
             raise BadImage("a prefix code isn't complete")
-        self.bits = max(sizes)
-        self.fixed = self.bits if min(sizes) == self.bits else -1
+        self.bits = int(self.sizes.max())
+        self.fixed = self.bits if int(self.sizes.min()) == self.bits else -1
 
     @property
     def table(self) -> list[tuple[int, int]]:
@@ -117,6 +128,14 @@ class PrefixCode:
                         self._table[k] = (s, n)
         return self._table
 
+    def entries(self, shift: int = 0) -> list[int]:
+        """By the next bits: the symbol, shifted left, times 16, plus its length."""
+        if not self.bits:
+            return [int(self.symbols[0]) << shift + 4]
+        order = np.argsort(self.sizes, kind="stable")
+        entry = (self.symbols << shift + 4 | self.sizes)[order]
+        return np.repeat(entry, 1 << (self.bits - self.sizes[order]))[reversals(self.bits)].tolist()
+
     def read(self, bits: Bits) -> int:
         symbol, n = (self._table or self.table)[bits.peek(self.bits)]
         bits.at += n
@@ -141,9 +160,14 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     meta = PrefixCode(order)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     lengths, before = [], 8
+    entries, mask, words, end = meta.entries(), (1 << meta.bits) - 1, bits.words, bits.end
     while len(lengths) < alphabet and most:
         most -= 1
-        s = meta.read(bits)
+        s = entries[(words[bits.at >> 5] >> (bits.at & 31)) & mask]
+        bits.at += s & 15
+        s >>= 4
+        if bits.at > end:
+            raise BadImage("the data ends too soon")
         if s < 16:
             lengths.append(s)
             before = s or before
@@ -215,33 +239,58 @@ def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     shift = 32 - cache_bits
     out: list[int] = []
     filled = 0  # pixels that are in the cache
-    while len(out) < n:
-        at = len(out)
-        group = codes[cells[(at // width >> cell_bits) * across + (at % width >> cell_bits)] if cells else 0]
-        s = group[0].read(bits)
-        if s < 256:
-            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
-            out.append(alpha << 24 | red << 16 | s << 8 | blue)
-        elif s < 256 + LENGTH_PREFIXES:
-            length = prefixed(s - 256, bits)
-            code = prefixed(group[4].read(bits), bits)
-            if code > len(NEAR):
-                back = code - len(NEAR)
-            else:
-                back = max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
-            if back > at or at + length > n:
-                raise BadImage("a reference leaves the image")
-            if back >= length:
-                out += out[at - back : at - back + length]
+    tables = [[x for c, shift in zip(group, (0, 16, 0, 24, 0)) for x in (c.entries(shift), (1 << c.bits) - 1)] for group in codes]
+    words, place, done, add = bits.words, bits.at, 0, out.append
+    greens, green, reds, red, blues, blue, alphas, alpha, _, _ = tables[0]
+    try:
+        while done < n:
+            if cells:
+                greens, green, reds, red, blues, blue, alphas, alpha, _, _ = tables[cells[(done // width >> cell_bits) * across + (done % width >> cell_bits)]]
+            # a word has 33 bits at least: two symbols
+            word = words[place >> 5] >> (place & 31)
+            e = greens[word & green]
+            s = e >> 4
+            if s < 256:
+                e &= 15
+                f = reds[(word >> e) & red]
+                place += e + (f & 15)
+                word = words[place >> 5] >> (place & 31)
+                e = blues[word & blue]
+                g = alphas[(word >> (e & 15)) & alpha]
+                place += (e & 15) + (g & 15)
+                add(g >> 4 | f >> 4 | s << 8 | e >> 4)
+                done += 1
+                continue
+            place += e & 15
+            if s < 256 + LENGTH_PREFIXES:
+                group = cells[(done // width >> cell_bits) * across + (done % width >> cell_bits)] if cells else 0
+                bits.at = place
+                length = prefixed(s - 256, bits)
+                code = prefixed(codes[group][4].read(bits), bits)
+                place = bits.at
+                if code > len(NEAR):
+                    back = code - len(NEAR)
+                else:
+                    back = max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+                if back > done or done + length > n:
+                    raise BadImage("a reference leaves the image")
+                if back >= length:
+                    out += out[done - back : done - back + length]
+                else:
+                    period = out[done - back :]
+                    out += (period * (length // back + 1))[:length]
+                done += length
             else:
-                period = out[at - back :]
-                out += (period * (length // back + 1))[:length]
-        else:
-            if cache_bits:
                 for x in out[filled:]:
                     cache[(CACHE_FACTOR * x & 0xFFFFFFFF) >> shift] = x
-                filled = len(out)
-            out.append(cache[s - 256 - LENGTH_PREFIXES])
+                filled = done
+                out.append(cache[s - 256 - LENGTH_PREFIXES])
+                done += 1
+    except IndexError:
+        raise BadImage("the data ends too soon") from None
+    bits.at = place
+    if place > bits.end:
+        raise BadImage("the data ends too soon")
     return np.array(out, np.uint32)
 
 
@@ -431,6 +480,12 @@ def huffman(counts: dict[int, int], alphabet: int, most: int = 15) -> list[int]:
 def write_code(w: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
     """Writes a prefix code; returns symbol -> (bits, length)."""
     used = [s for s, n in enumerate(lengths) if n]
+    write_lengths(w, lengths, used)
+    return canonical(lengths) if len(used) > 1 else {s: (0, 0) for s in used or [0]}
+
+
+def write_lengths(w: Writer, lengths: list[int], used: list[int]) -> None:
+    """Writes the lengths of a prefix code; used: the symbols that have one."""
     if len(used) <= 2 and all(s < 256 for s in used):
         used = used or [0]
         w.write(1, 1)
@@ -440,15 +495,18 @@ def write_code(w: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
         w.write(used[0], 8 if wide else 1)
         if len(used) == 2:
             w.write(used[1], 8)
-        return {used[0]: (0, 0)} if len(used) == 1 else {used[0]: (0, 1), used[1]: (1, 1)}
+        return
     w.write(0, 1)
     tokens: list[tuple[int, int, int]] = []
     k, end = 0, used[-1] + 1
     before = 8
+    known = np.array(lengths[:end])
+    edges = iter([*(np.flatnonzero(known[1:] != known[:-1]) + 1).tolist(), end])
+    edge = 0
     while k < end:
-        run = 1
-        while k + run < end and lengths[k + run] == lengths[k]:
-            run += 1
+        if k == edge:
+            edge = next(edges)
+        run = edge - k
         if lengths[k] == 0 and run >= 3:
             run = min(run, 138)
             tokens.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
@@ -460,7 +518,7 @@ def write_code(w: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
             before = lengths[k] or before
             tokens.append((lengths[k], 0, 0))
         k += run
-    sizes = huffman(Counter(t for t, _, _ in tokens), 19, 7)
+    sizes = code_lengths(np.bincount([t for t, _, _ in tokens], minlength=19), 7).tolist()
     n = max(4, 1 + max(i for i, s in enumerate(LENGTH_ORDER) if sizes[s]))
     w.write(n - 4, 4)
     for s in LENGTH_ORDER[:n]:
@@ -475,9 +533,8 @@ def write_code(w: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
     else:
         w.write(0, 1)
     for t, extra, bits in tokens:
-        w.write(*codes[t])
-        w.write(extra, bits)
-    return canonical(lengths) if len(used) > 1 else {used[0]: (0, 0)}
+        code, n = codes[t]
+        w.parts.append((code | extra << n, n + bits))
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -651,6 +708,149 @@ def encode(pixels: np.ndarray, o: Options = Options()) -> bytes:
     return _file(w.bits())
 
 
+def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """Lengths of a complete prefix code near the counts' information, of at most `most` bits."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    used = used[np.argsort(-counts[used], kind="stable")]
+    size = np.clip(np.ceil(np.log2(counts.sum() / counts[used])), 1, most).astype(int).tolist()
+    spare = (1 << most) - sum(1 << (most - n) for n in size)
+    while spare < 0:  # the longest that can grow
+        k = max((k for k, n in enumerate(size) if n < most), key=lambda k: size[k])
+        size[k] += 1
+        spare += 1 << (most - size[k])
+    while spare:
+        for k, n in enumerate(size):
+            if 1 << (most - n) <= spare:
+                size[k] -= 1
+                spare -= 1 << (most - n)
+    out[used] = size
+    return out
+
+
+def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol the code as it is read, and its length; a code of one symbol takes no bits."""
+    used = np.flatnonzero(lengths)
+    value, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    if len(used) > 1:
+        used = used[np.argsort(lengths[used], kind="stable")]
+        most = int(lengths.max())
+        step = 1 << (most - lengths[used])
+        value[used] = reversals(most)[np.cumsum(step) - step]
+        size[used] = lengths[used]
+    return value, size
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix_of for many."""
+    v = values - 1
+    extra = np.where(v < 4, 0, np.frexp(v.astype(np.float64))[1] - 2)
+    return np.where(v < 4, v, 2 * extra + 2 + ((v >> extra) & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
+
+
+@lru_cache(maxsize=4)
+def _places(width: int) -> np.ndarray:
+    """The distance codes of near pixels by distance; 0 for others."""
+    out = np.zeros(8 + 8 * width, np.int64)
+    for code, (x, y) in reversed(list(enumerate(NEAR, 1))):
+        if x + y * width > 0:
+            out[x + y * width] = code
+    return out
+
+
+def _copies(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of copies, greedily from the left: each repeats the last place of its first three pixels."""
+    n = len(argb)
+    _, number = np.unique(argb, return_inverse=True)
+    many = int(number.max()) + 1
+    three = (number[:-2] * many + number[1:-1]) * many + number[2:]
+    order = np.argsort(three, kind="stable")
+    again = three[order[1:]] == three[order[:-1]]
+    back = np.zeros(max(0, n - 2), np.int64)
+    back[order[1:][again]] = (order[1:] - order[:-1])[again]
+    edges = np.flatnonzero(np.diff(back, prepend=-1))
+    far = back[edges]
+    out, at = [], 0
+    some = far > 0
+    for lo, hi, distance in zip(edges[some].tolist(), np.append(edges[1:], len(back))[some].tolist(), far[some].tolist()):
+        lo = max(lo, at)
+        if lo < hi:
+            at = hi + 2
+            out += [(k, min(4096, at - k), distance) for k in range(lo, at, 4096)]
+    found = np.array(out, np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def encode_general(pixels: np.ndarray) -> bytes:
+    """A lossless WebP file with green subtracted, a colour cache, references and prefix codes by the counts of the symbols.
+
+    What encode does pixel by pixel is done here for all pixels at once.
+    """
+    h, width, _ = pixels.shape
+    w = Writer()
+    _header(w, width, h)
+    for value, n in ((1, 1), (SUBTRACT_GREEN, 2), (0, 1)):
+        w.write(value, n)
+    flat = pixels.reshape(-1, 4)
+    green, alpha = flat[:, 1].astype(np.int64), flat[:, 3].astype(np.int64)
+    red, blue = [(flat[:, k] - flat[:, 1]).astype(np.int64) for k in (0, 2)]
+    argb = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
+    n = len(argb)
+    cache_bits = min(10, max(1, n.bit_length() - 5))
+    slot = argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(n, bool)
+    hit[order[1:]] = argb[order[1:]] == argb[order[:-1]]  # the pixel before in the slot is the one it holds
+    start, length, distance = _copies(argb) if n > 2 else (np.zeros(0, np.int64),) * 3
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, start, 1)
+    np.add.at(step, start + length, -1)
+    begins = np.zeros(n, bool)
+    begins[start] = True
+    at = np.flatnonzero((np.cumsum(step[:-1]) == 0) | begins)
+    copy = begins[at]
+    cached = hit[at] & ~copy
+    plain = ~copy & ~cached
+    near = _places(width)
+    code = distance + len(NEAR)
+    close = distance < len(near)
+    close[close] = near[distance[close]] > 0
+    code[close] = near[distance[close]]
+    of_length, of_distance = _prefixes(length), _prefixes(code)
+    first = np.empty(len(at), np.int64)
+    first[plain] = green[at[plain]]
+    first[cached] = 256 + LENGTH_PREFIXES + slot[at[cached]].astype(np.int64)
+    first[copy] = 256 + of_length[0]
+    w.write(1, 1)
+    w.write(cache_bits, 4)
+    w.write(0, 1)  # one group
+    books = []
+    for symbols, size in ((first, 256 + LENGTH_PREFIXES + (1 << cache_bits)), (red[at[plain]], 256), (blue[at[plain]], 256), (alpha[at[plain]], 256),
+                          (of_distance[0], DISTANCE_PREFIXES)):
+        lengths = code_lengths(np.bincount(symbols, minlength=size))
+        write_lengths(w, lengths.tolist(), np.flatnonzero(lengths).tolist())
+        value, bits = _codes(lengths)
+        books.append((value[symbols], bits[symbols]))
+    value, bits = np.zeros((2, len(at), 4), np.int64)
+    for out, k in ((value, 0), (bits, 1)):
+        out[:, 0] = books[0][k]
+        for c in (1, 2, 3):
+            out[plain, c] = books[c][k]
+        out[copy, 1], out[copy, 2], out[copy, 3] = of_length[1 + k], books[4][k], of_distance[1 + k]
+    value, bits = value.reshape(-1), bits.reshape(-1)
+    ends = np.cumsum(bits)
+    parts = [w.bits()]
+    rows = np.searchsorted(ends, np.arange(0, int(ends[-1]), 1 << 20)).tolist() if len(ends) else []
+    for lo, hi in zip(rows, [*rows[1:], len(bits)]):
+        own = bits[lo:hi]
+        where = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        parts.append(((np.repeat(value[lo:hi], own) >> where) & 1).astype(np.uint8))
+    return _file(np.concatenate(parts))
+
+
 def encode_flat(pixels: np.ndarray) -> bytes:
     """A lossless WebP file in which the channels have prefix codes of one length over the values that occur.
 

@@ -160,6 +160,30 @@ def test_payload_round_trip(data):
     assert b"".join(i.tobytes() for i in media.load(media.store(payload))) == payload
 
 
+def test_stored_payloads_take_the_general_decoder(monkeypatch):
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    payload = media.pad(" ".join(rng.choice(vocabulary) for _ in range(2000)).encode())
+    seen = []
+    literals, code = webp._literals, webp.read_code
+    monkeypatch.setattr(webp, "_literals", lambda *a: seen.append(literals(*a)) or seen[-1])
+    codes = []
+    monkeypatch.setattr(webp, "read_code", lambda *a: codes.append(code(*a)) or codes[-1])
+    stored = media.store(payload)
+    assert b"".join(i.tobytes() for i in media.load(stored)) == payload
+    assert seen and all(x is None for x in seen) and len(stored) < 0.7 * len(payload)
+    green, red, _, _, distance = codes
+    assert green.fixed == red.fixed == -1 and len(distance.symbols) > 1
+    assert ((green.symbols >= 256) & (green.symbols < 280)).any() and (green.symbols >= 280).any()
+
+
+@pytest.mark.parametrize("kind", ["noise", "repeats", "smooth", "2", "200"])
+@pytest.mark.parametrize("shape", [(1, 1), (1, 3), (7, 48), (300, 48)])
+def test_general_round_trip(kind, shape):
+    image = picture(kind, *shape)
+    assert np.array_equal(webp.decode(webp.encode_general(image)), image)
+
+
 def test_payload_of_many_images(monkeypatch):
     monkeypatch.setattr(media, "ROWS", 3)
     payload = media.pad(b"long text " * 300)
