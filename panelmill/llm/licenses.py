@@ -41,6 +41,57 @@ TEMPLATES = {
         "notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     "Public-domain": "This is free and unencumbered software released into the public domain.",
 }
+
+
+def _gnu(name: str, program: str, version: str) -> str:
+    """The notice that the GNU licenses ask for at the head of a file."""
+    return (
+        f"{program} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software "
+        f"Foundation; either version {version} of the License, or (at your option) any later version. {program} is distributed in the hope that it will "
+        "be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        f"GNU {name} for more details. You should have received a copy of the GNU {name} along with this program.")
+
+
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_ISC_DISCLAIMER = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+TEMPLATES |= {
+    "0BSD-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_DISCLAIMER,
+    "AGPL-3.0-or-later-header": _gnu("Affero General Public License", "This program", "3"),
+    "BSD-2-Clause-text": TEMPLATES["BSD-2-Clause-terms"] + " " + _BSD_DISCLAIMER,
+    "BSD-3-Clause-text": (
+        TEMPLATES["BSD-2-Clause-terms"] + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission. " + _BSD_DISCLAIMER),
+    "GPL-2.0-or-later-header": _gnu("General Public License", "This program", "2"),
+    "GPL-3.0-or-later-header": _gnu("General Public License", "This program", "3"),
+    "ISC-text": TEMPLATES["ISC-terms"] + " " + _ISC_DISCLAIMER,
+    "LGPL-2.1-or-later-header": _gnu("Lesser General Public License", "This library", "2.1"),
+    "LGPL-3.0-or-later-header": _gnu("Lesser General Public License", "This library", "3"),
+    "MIT-text": (
+        TEMPLATES["MIT-terms"] + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You "
+        "can obtain one at http://mozilla.org/MPL/2.0/."),
+    "Zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+        "and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that "
+        "you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is "
+        "not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice "
+        "may not be removed or altered from any source distribution."),
+}
 WORD = re.compile(r"\w+")
 
 

@@ -107,6 +107,23 @@ def test_a_match_within_twice_the_length_is_found_at_every_offset(kept, spread):
         assert scanner.scan(["the", *["other"] * offset, *text, "other", "the"]), offset
 
 
+def test_common_headers_and_texts_are_known():
+    scanner = licenses.Scanner()
+    for name, text in licenses.TEMPLATES.items():
+        assert scanner.scan(licenses.words_of(f"some code {text} more code"))[0]["license"] == name
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC", "Zlib"):
+        assert any(k.startswith(name) and k.endswith(("-header", "-text")) for k in licenses.TEMPLATES), name
+    header = """ * This program is free software: you can redistribute it and/or modify
+     * it under the terms of the GNU General Public License as published by
+     * the Free Software Foundation, either version 3 of the License, or
+     * (at your option) any later version.
+     * This program is distributed in the hope that it will be useful,
+     * but WITHOUT ANY WARRANTY; without even the implied warranty of
+     * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+     * GNU General Public License for more details."""
+    assert scanner.scan(licenses.words_of(header))[0]["license"] == "GPL-3.0-or-later-header"
+
+
 def test_a_match_of_two_distant_halves_is_found():
     template = [f"t{i}" for i in range(40)]
     assert licenses.Scanner({"x": " ".join(template)}).scan(template[:17] + ["other"] * 42 + template[-17:])
