@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
@@ -139,13 +141,16 @@ def global_ridge(panel: Panel, target: str, horizon: int, alpha: float = 10.0) -
 
 
 def global_trees(panel: Panel, target: str, horizon: int, iterations: int = 10) -> DataFrame:
-    """Boosted trees of Spark ML over all zones, for the last fold."""
+    """Boosted trees of Spark ML over all zones, fitted again for each fold on the hours before it."""
     rows, names = training_rows(panel, target, horizon, static=True)
-    fold, start, end = make_folds(panel.settings)[-1]
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows).persist()  # each boosting round reads them again
-    model = GBTRegressor(labelCol="y", maxIter=iterations, stepSize=0.1, maxDepth=5, maxBins=64, seed=7).fit(vectors.where(F.col("hour_idx") < start))
-    scored = model.transform(vectors.where((F.col("hour_idx") >= start) & (F.col("hour_idx") < end)))
-    return scored.select(F.lit(fold).alias("fold"), "zone_id", "hour_idx", F.lit("global_gbm").alias("family"), clip(F.col("prediction"), None).alias("predicted"), F.col("y").alias("actual"))
+    scored = []
+    for fold, start, end in make_folds(panel.settings):
+        model = GBTRegressor(labelCol="y", maxIter=iterations, stepSize=0.1, maxDepth=5, maxBins=64, seed=7).fit(vectors.where(F.col("hour_idx") < start))
+        own = model.transform(vectors.where((F.col("hour_idx") >= start) & (F.col("hour_idx") < end)))
+        scored.append(own.select(F.lit(fold).alias("fold"), "zone_id", "hour_idx", F.lit("global_gbm").alias("family"), clip(F.col("prediction"), None).alias("predicted"),
+                                 F.col("y").alias("actual")))
+    return reduce(DataFrame.unionByName, scored)
 
 
 def retraining(panel: Panel, target: str, horizon: int, every: int | None, start: int, alpha: float = 10.0) -> DataFrame:

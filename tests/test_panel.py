@@ -8,6 +8,7 @@ from panelmill.operators import breaks, capacity, features, forecasts, models, m
 from panelmill.queries import ORACLE, QUERIES
 from panelmill.settings import Settings
 from panelmill.sources import files
+from panelmill.sources.panel import from_events
 from tests.compare import connect, differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -68,6 +69,11 @@ def test_ridge_equals_the_direct_solution():
     assert np.allclose(models.solve_ridge(models.gram_of(x, y), 10.0)[1:], direct)
 
 
+def test_trees_score_every_fold(spark):
+    scored = models.global_trees(from_events(spark, SMALL), "occupancy", 6, iterations=1)
+    assert {r.fold for r in scored.select("fold").distinct().collect()} == {f for f, _, _ in forecasts.make_folds()}
+
+
 def test_runs(spark):
     df = spark.createDataFrame([(0, h, v) for h, v in enumerate([1.0, 1.0, 1.0, 1.0, 2.0, 2.0])], "zone_id int, hour_idx int, x double")
     assert [r["run_length"] for r in quality.run_lengths(df, "x").orderBy("hour_idx").collect()] == [4, 4, 4, 4, 2, 2]
