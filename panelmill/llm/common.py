@@ -17,9 +17,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="panelmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -43,12 +46,18 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scatter_width(spark: SparkSession, df: DataFrame | None = None, per_scan: int = 2) -> int:
-    """Partitions for a keyed hand-over: the session's shuffle width, or more where the input has many splits."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files or rows that df reads, as the optimiser knows them; None where it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(sizes) if sizes and max(sizes) < 1 << 60 else None
+
+
+def scatter_width(spark: SparkSession, df: DataFrame | None = None, per: int = 32 << 20) -> int:
+    """Partitions for a keyed hand-over: the session's shuffle width, or more where df reads over `per` bytes a partition."""
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if df is not None:
-        wide = max(wide, per_scan * len(df.inputFiles()))
-    return wide
+    read = input_bytes(df) if df is not None else None
+    return wide if read is None else max(wide, -(-read // per))
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -91,6 +92,23 @@ def _unpacked(data: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def home_of(owners: np.ndarray, homes: int) -> np.ndarray:
+    """The home of each owner: where its list of shared files is put together."""
+    return (owners.astype(np.uint64) * MIX_A >> np.uint64(33)).astype(np.int64) % homes
+
+
+def _by_home(owner: np.ndarray, files: np.ndarray, homes: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(home, owners, counts, files), one packed row for all owners of a home."""
+    home = home_of(owner, homes)
+    order = np.lexsort((files, owner, home))
+    owner, files, home = owner[order], files[order], home[order]
+    cuts = np.searchsorted(home, np.arange(homes + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        lo, hi = cuts[k], cuts[k + 1]
+        names, counts = np.unique(owner[lo:hi], return_counts=True)
+        yield k, names.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), _six(files[lo:hi])
+
+
 class _Announcer:
     """Collects the files of texts and says, bucket by bucket, which file came from which text."""
 
@@ -112,7 +130,7 @@ class _Announcer:
                 self.n += len(found)
 
     def rows(self) -> Iterator[tuple]:
-        """(bucket, kind, owner, files, owners, counts): kind 0 announces, kind 1 tells an owner its shared files."""
+        """(bucket, kind, files, owners, counts): kind 0 announces, kind 1 goes to a home: its owners' shared files."""
         if not self.n:
             return
         hashes = np.array(list(self.seen), np.int64)
@@ -121,8 +139,8 @@ class _Announcer:
         _, number, many = np.unique(files, return_inverse=True, return_counts=True)
         several = many[number] > 1
         # shared already: the texts learn it here, the others hear of it once
-        for o, part in _by_owner(owner[several], files[several]):
-            yield int(hashes[o] % self.buckets), 1, int(hashes[o]), _six(part), None, None
+        for home, names, counts, part in _by_home(hashes[owner[several]], files[several], self.buckets):
+            yield home, 1, part, names, counts
         known = np.unique(files[several])
         files, owner = files[~several], owner[~several]
         bucket, known_bucket = files % np.uint64(self.buckets), known % np.uint64(self.buckets)
@@ -133,22 +151,14 @@ class _Announcer:
             part, who = files[cuts[k] : cuts[k + 1]], owner[cuts[k] : cuts[k + 1]]
             if len(part):
                 names, counts = np.unique(who, return_counts=True)  # owners come in order, so runs and counts agree
-                yield k, 0, None, _six(part), hashes[names].tobytes(), counts.astype("<u4").tobytes()
+                yield k, 0, _six(part), hashes[names].tobytes(), counts.astype("<u4").tobytes()
             told = known[known_bucket == k]
             if len(told):
-                yield k, 0, None, _six(told), None, None
+                yield k, 0, _six(told), None, None
 
 
-def _by_owner(owner: np.ndarray, files: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(owner, kind="stable")
-    owner, files = owner[order], files[order]
-    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(owner)]):
-        yield int(owner[lo]), files[lo:hi]
-
-
-_SAID = [("bucket", pa.int32()), ("kind", pa.int32()), ("owner", pa.int64()), ("files", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())]
-_SAID_SQL = "bucket int, kind int, owner long, files binary, owners binary, counts binary"
+_SAID = [("bucket", pa.int32()), ("kind", pa.int32()), ("files", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())]
+_SAID_SQL = "bucket int, kind int, files binary, owners binary, counts binary"
 
 
 def _batch(rows: list[tuple], fields: list) -> pa.RecordBatch:
@@ -157,7 +167,11 @@ def _batch(rows: list[tuple], fields: list) -> pa.RecordBatch:
 
 
 def shared_files(texts: DataFrame, length: int) -> DataFrame:
-    """(owner, files): for each text hash, packed files that another text has too. texts: text_hash, data."""
+    """(owner, files): for each text hash, packed files that another text has too. texts: text_hash, data.
+
+    Files meet in buckets; what a bucket finds shared goes to the owners' homes in one packed row a home, so the rows
+    between the two are the pairs of a bucket and a home and don't grow with the owners.
+    """
     buckets = scatter_width(texts.sparkSession, texts)
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +185,15 @@ def shared_files(texts: DataFrame, length: int) -> DataFrame:
         yield _batch(list(held.rows()), _SAID)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, files, owners, done = [], [], [], []
+        known, files, owners = [], [], []
         for b in batches:
-            for _, kind, owner, packed, names, counts in zip(*[c.to_pylist() for c in b.columns]):
+            forward = b.filter(pa.compute.equal(b.column(1), 1))
+            if forward.num_rows:
+                yield pa.RecordBatch.from_arrays([forward.column(k) for k in (0, 2, 3, 4)], names=["home", "files", "owners", "counts"])
+            for kind, packed, names, counts in zip(*[c.to_pylist() for c in b.columns[1:]]):
                 if kind == 1:
-                    done.append((owner, packed))
-                elif names is None:
+                    continue
+                if names is None:
                     known.append(_unsix(packed))
                 else:
                     files.append(_unsix(packed))
@@ -191,11 +208,30 @@ def shared_files(texts: DataFrame, length: int) -> DataFrame:
             shared = (np.minimum.reduceat(owners, at) != np.maximum.reduceat(owners, at))[np.cumsum(head) - 1]
             if known:
                 shared |= np.isin(files, np.concatenate(known))
-            done += [(o, _six(part)) for o, part in _by_owner(owners[shared], files[shared])]
-        yield _batch(done, [("owner", pa.int64()), ("files", pa.binary())])
+            rows = [(home, packed, names, counts) for home, names, counts, packed in _by_home(owners[shared], files[shared], buckets)]
+            yield _batch(rows, [("home", pa.int32()), ("files", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, owners = [], []
+        for b in batches:
+            for packed, names, counts in zip(*[c.to_pylist() for c in b.columns[1:]]):
+                files.append(_unsix(packed))
+                owners.append(np.repeat(np.frombuffer(names, "<i8"), np.frombuffer(counts, "<u4")))
+        if not files:
+            return
+        files, owners = np.concatenate(files), np.concatenate(owners)
+        order = np.lexsort((files, owners))
+        files, owners = files[order], owners[order]
+        fresh = np.concatenate([[True], (owners[1:] != owners[:-1]) | (files[1:] != files[:-1])])
+        files, owners = files[fresh], owners[fresh]
+        cuts = [*np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])).tolist(), len(owners)]
+        for k in range(0, len(cuts) - 1, 4096):
+            part = list(zip(cuts[k : k + 4096], cuts[k + 1 : k + 4097]))
+            yield _batch([(int(owners[lo]), _six(files[lo:hi])) for lo, hi in part], [("owner", pa.int64()), ("files", pa.binary())])
 
-    said = texts.mapInArrow(announce, _SAID_SQL).repartition(buckets, "bucket")
-    return said.mapInArrow(meet, "owner long, files binary")
+    said = texts.mapInArrow(announce, _SAID_SQL).repartitionById(buckets, F.col("bucket"))
+    met = said.mapInArrow(meet, "home int, files binary, owners binary, counts binary").repartitionById(buckets, F.col("home"))
+    return met.mapInArrow(gather, "owner long, files binary")
 
 
 @dataclass
@@ -210,11 +246,10 @@ class _Flush:
     occurs: list[tuple[int, int, int]] = field(default_factory=list)
     size: int = 0
 
-    def add(self, doc_id: int | None, data: bytes, carry: object, files: np.ndarray, length: int) -> None:
-        own = NONE if doc_id is None else doc_id
+    def add(self, key: tuple[int, int], own: int, data: bytes, files: np.ndarray, length: int) -> None:
         start, windows, file = window_runs(data, length)
         n = len(self.docs)
-        self.docs.append((doc_id, data, carry))
+        self.docs.append((key, own, data))
         self.size += len(data)
         for k in np.flatnonzero(np.isin(file, files)).tolist():
             s = int(start[k])
@@ -305,15 +340,9 @@ def _resolve(groups: list[tuple[int, tuple]], length: int) -> Iterator[tuple]:
             yield None, flush, 2, _packed(np.stack([number[row], seg[1][at], seg[2][at], seg[3][at]]))
 
 
-def _row(doc_id: int | None, carry: str | None, size: int, kept: bytes, runs: int, with_text: bool) -> tuple:
-    """A row of the result."""
-    text = kept.decode("utf-8", "ignore") if with_text else None
-    return doc_id, carry, size, size - len(kept), runs, hashlib.sha256(kept).hexdigest(), text
-
-
 def _finish(docs: list[tuple], occurs: np.ndarray, told: list[np.ndarray], length: int, with_text: bool) -> Iterator[tuple]:
-    """The rows of the result for the texts of a flush."""
-    edge = [np.zeros(len(data) + 1, np.int32) for _, data, _ in docs]
+    """(text_hash, text_sum, n_removed, n_spans, kept_sha256, left) for the texts of a flush that lose something."""
+    edge = [np.zeros(len(data) + 1, np.int32) for _, _, data in docs]
     if told and len(occurs):
         seg = np.concatenate(told, axis=1)
         seg = seg[:, np.argsort(seg[0], kind="stable")]
@@ -321,77 +350,70 @@ def _finish(docs: list[tuple], occurs: np.ndarray, told: list[np.ndarray], lengt
         n = hi - lo
         row = np.repeat(np.arange(len(occurs)), n)
         at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-        ids = np.array([NONE if d is None else d for d, _, _ in docs], np.int64)
+        ids = np.array([own for _, own, _ in docs], np.int64)
         hit = seg[3][at] < ids[occurs[row, 1]]
         row, at = row[hit], at[hit]
         for (doc, start), (first, last) in zip(occurs[row, 1:].tolist(), seg[1:3, at].T.tolist()):
             edge[doc][start + first] += 1
             edge[doc][start + last + length - 1] -= 1
-    for (doc_id, data, carry), e in zip(docs, edge):
+    for (key, _, data), e in zip(docs, edge):
         gone = np.cumsum(e[:-1]) > 0
-        runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
-        yield _row(doc_id, carry, len(data), np.frombuffer(data, np.uint8)[~gone].tobytes(), runs, with_text)
+        if gone.any():
+            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+            spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+            yield *key, len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
                    carry: list[str] | None = None) -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text also text (what is left; bytes
-    that are no longer a whole character go) and the columns named in carry.
+    that are no longer a whole character go) and the columns named in carry, as they are.
 
     A byte of a text's UTF-8 goes if a window of `length` bytes over it also starts in a row with a smaller
     doc_id. Windows are filed under the least hash of their 16-byte grams, as equal windows are equally. Texts first announce
     their files; files of one text only are left out. Runs of windows of the other files meet bucket by bucket; there a
     Burrows-Wheeler transform of the distinct runs groups equal windows by interval expansion up to `length`
     and each group's least doc_id goes back to the texts. What one batch of texts has in common travels once, so a passage
-    in a third of all texts is a few rows, and a file common to many texts is announced once a batch.
+    in a third of all texts is a few rows, and a file common to many texts is announced once a batch. Equal texts are one
+    from the scan on, told apart by 128 bits of hash; the rows find their text's result by text and doc_id, so copies are spread.
 
-    Of equal texts all but those with the least doc_id go whole, if they have `length` bytes. Null text is empty. A null doc_id
-    is greater than all others. Equal rows, and different texts of one doc_id, remove nothing from each other. An empty table gives
-    an empty result.
+    Of equal texts all but those with the least doc_id go whole, if they have `length` bytes. doc_id is an integer; a null one
+    is greater than all others. Null text is empty: with_text gives "" for it. Equal rows, and different texts of one doc_id, remove
+    nothing from each other. Names in carry may be any but those of the result. An empty table gives an empty result.
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     keep = carry or []
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    packed = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]), {"ignoreNullFields": "false"}) if keep else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("data"), packed.alias("carry"))
-    firsts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
-    lists = shared_files(rows.select("text_hash", "data"), length).groupBy(F.col("owner").alias("text_hash")).agg(F.collect_list("files").alias("files"))
+    hashes = [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(length), text).alias("text_sum")]
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("own")
+    known, key = docs.select(*hashes, own), ["text_hash", "text_sum"]
+    firsts = known.groupBy(*key).agg(F.min("own").alias("first_id"))
+    lists = shared_files(docs.select(hashes[0], text.cast("binary").alias("data")), length).withColumnRenamed("owner", "text_hash")
     lists = settle(firsts.join(lists, "text_hash", "left"))
-    copy = ~F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
-    joined = rows.join(lists, "text_hash").withColumn("copy", copy).sortWithinPartitions("text_hash", "doc_id")
-    buckets = scatter_width(spark, docs, 4)
+    # one row per text from the scan on: copies don't travel
+    texts = docs.select(*hashes, text.cast("binary").alias("data")).groupBy(*key).agg(F.any_value("data").alias("data"))
+    joined = texts.join(lists.where("files is not null"), key).select(*key, "first_id", "data", "files").sortWithinPartitions(*key)
+    buckets = scatter_width(spark, docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # numbered by task and order: the rows come sorted, so a task that runs again makes the same batches
         held, flush = _Flush(), TaskContext.get().partitionId() << 32
-        done, size = [], 0
         for b in batches:
-            for doc_id, data, extra, files, again in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist()):
-                data = data.as_py()
-                if again or not files.is_valid:  # a copy of a text with a smaller id, or nothing shared
-                    gone = again and len(data) >= length
-                    done.append(_row(doc_id, extra, len(data), b"" if gone else data, int(gone), with_text))
-                    size += 100 + len(data) * with_text
-                else:
-                    held.add(doc_id, data, extra, np.unique(_unsix(b"".join(files.as_py()))), length)
-                if size >= FLUSH:
-                    yield _batch([(flush % buckets, flush, 3, _packed(done))], _SENT)
-                    done, size, flush = [], 0, flush + 1
+            for one, two, first, data, files in zip(*[c.to_pylist() for c in b.columns[:3]], b.column(3), b.column(4)):
+                held.add((one, two), first, data.as_py(), _unsix(files.as_py()), length)
                 if held.size >= FLUSH:
                     yield _batch(list(held.rows(buckets, flush)), _SENT)
                     held, flush = _Flush(), flush + 1
-        yield _batch([(flush % buckets, flush, 3, _packed(done))] if done else [], _SENT)
-        yield _batch(list(held.rows(buckets, flush + 1)), _SENT)
+        yield _batch(list(held.rows(buckets, flush)), _SENT)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = [(flush, _contents(payload)) for b in batches for flush, payload in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
         if groups:
             yield _batch(list(_resolve(groups, length)), _SENT)
 
-    fields = [("doc_id", pa.int64()), ("carry", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-              ("kept_sha256", pa.string()), ("text", pa.string())]
+    fields = [("text_hash", pa.int64()), ("text_sum", pa.int64()), ("gone", pa.int64()), ("runs", pa.int64()), ("kept", pa.string()), ("left", pa.string())]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, texts, told = None, None, []
@@ -402,9 +424,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         for b in batches:
             for flush, kind, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 what = _unpacked(payload.as_py())
-                if kind == 3:
-                    yield _batch(what, fields)
-                    continue
                 if flush != last and texts is not None:
                     yield out()
                     texts, told = None, []
@@ -416,16 +435,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         if texts is not None:
             yield out()
 
-    # written, so that the texts' shuffle goes before the next; only contents are dealt by bucket, and finished rows not at all
-    sent = settle(joined.select("doc_id", "data", "carry", "files", "copy").mapInArrow(send, _SENT_SQL))
-    told = sent.where("kind = 0").repartition(buckets, "bucket").mapInArrow(meet, _SENT_SQL)
+    # written, so that the texts' shuffle goes before the next; only contents are dealt by bucket
+    sent = settle(joined.mapInArrow(send, _SENT_SQL))
+    told = sent.where("kind = 0").repartitionById(buckets, F.col("bucket")).mapInArrow(meet, _SENT_SQL)
     flushes = told.unionByName(sent.where("kind = 1")).select("bucket", "flush", "kind", "payload").repartition(buckets, "flush").sortWithinPartitions("flush", "kind")
-    rows_of = "doc_id long, carry string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
-    out = flushes.mapInArrow(finish, rows_of).unionByName(sent.where("kind = 3").mapInArrow(finish, rows_of))
-    if not with_text:
-        return out.drop("carry", "text")
-    if keep:
-        schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-        out = out.withColumn("carry", F.from_json("carry", schema))
-        out = out.select("*", *[F.col(f"carry.c{i}").alias(c) for i, c in enumerate(keep)])
-    return out.drop("carry")
+    changed = flushes.mapInArrow(finish, "text_hash long, text_sum long, gone long, runs long, kept string, left string")
+    first = lists.select(*key, F.col("first_id").alias("own")).join(changed, key, "left").withColumn("first", F.lit(True))
+    rows = docs.select(*hashes, own, F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"),
+                       *[text.alias("text")] * with_text, F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)] or [F.lit(0)]).alias("carry"))
+    rows = rows.join(first, [*key, "own"], "left")
+    whole = F.col("first").isNull() & (F.col("n_bytes") >= length)  # a copy of a text with a smaller id
+    out = [F.col("doc_id"), F.col("n_bytes"), F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
+           F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
+           F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256")]
+    if with_text:
+        out += [F.when(whole, F.lit("")).otherwise(F.coalesce("left", "text")).alias("text"), *[F.col(f"carry.c{i}").alias(c) for i, c in enumerate(keep)]]
+    return rows.select(*out)
