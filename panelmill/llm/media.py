@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm import webp
+from panelmill.llm import webp, webp_many
 
 #: Bytes of a row of pixels: 48 pixels of four 8-bit samples.
 ROW = 192
@@ -24,15 +24,32 @@ def pad(data: bytes) -> bytes:
     return data + b" " * (-len(data) % ROW if data else ROW)
 
 
-def store(payload: bytes) -> bytes:
-    """The payload's bytes as samples of one or more WebP files, one after the other."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 4, 4)
-    return b"".join(webp.encode_general(rows[lo : lo + ROWS]) for lo in range(0, len(rows), ROWS))
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """Each payload's bytes as samples of one or more WebP files, one after the other."""
+    rows = [np.frombuffer(p, np.uint8).reshape(-1, ROW // 4, 4) for p in payloads]
+    parts = [[r[lo : lo + ROWS] for lo in range(0, len(r), ROWS)] for r in rows]
+    files = iter(webp_many.encode_many([image for images in parts for image in images]))
+    return [b"".join([next(files) for _ in images]) for images in parts]
 
 
-def load(media: bytes) -> list[np.ndarray]:
-    """The pixel arrays of a sequence of WebP files."""
-    return [webp.decode(f) for f in webp.frames(media)]
+def load_many(media: list[bytes]) -> list[list[np.ndarray]]:
+    """The pixel arrays of sequences of WebP files."""
+    parts = [webp.frames(m) for m in media]
+    images = iter(webp_many.decode_many([f for files in parts for f in files]))
+    return [[next(images) for _ in files] for files in parts]
+
+
+def together(sizes: list[int]) -> Iterator[list[int]]:
+    """Numbers of payloads to handle together: like sizes, bounded in number and bytes."""
+    held, total = [], 0
+    for k in sorted(range(len(sizes)), key=lambda k: sizes[k]):
+        if held and (len(held) == webp_many.LANES or total + sizes[k] > 4 * webp_many.PIXELS):
+            yield held
+            held, total = [], 0
+        held.append(k)
+        total += sizes[k]
+    if held:
+        yield held
 
 
 def features(images: list[np.ndarray]) -> str:
@@ -71,7 +88,7 @@ def decode_media(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 if not media.is_valid:
                     continue
                 try:
-                    rows += [(k, f, i.shape[1], i.shape[0], i.tobytes(), None) for f, i in enumerate(load(media.as_py()))]
+                    rows += [(k, f, i.shape[1], i.shape[0], i.tobytes(), None) for f, i in enumerate(load_many([media.as_py()])[0])]
                 except webp.BadImage as e:
                     rows.append((k, -1, None, None, None, str(e)))
             cols = list(zip(*rows)) or [[]] * 6
@@ -87,19 +104,19 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """Stores whole texts (null: empty) as media, reads the stored bytes back and describes what was read.
 
     One row per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (and
-    media). Equal texts give equal values, repeated rows repeated rows; other columns don't matter. One text at a time is in
-    memory. An empty table gives an empty result.
+    media). Equal texts give equal values, repeated rows repeated rows; other columns don't matter. The texts of a batch are written
+    and read in groups of like size, of bounded bytes. An empty table gives an empty result.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for data in b.column(1):
-                raw = data.as_py() or b""
-                media = store(pad(raw))
-                images = load(media)
-                back = b"".join(i.tobytes() for i in images)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media),
-                             hashlib.sha256(media).hexdigest(), features(images), *([media] if with_media else [])))
+            raws = [data.as_py() or b"" for data in b.column(1)]
+            rows: list[tuple] = [()] * len(raws)
+            for part in together([len(raw) for raw in raws]):
+                stored = store_many([pad(raws[k]) for k in part])
+                for k, media, images in zip(part, stored, load_many(stored)):
+                    back = b"".join(i.tobytes() for i in images)
+                    rows[k] = (len(raws[k]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media),
+                               hashlib.sha256(media).hexdigest(), features(images), *([media] if with_media else []))
             cols = list(zip(*rows)) or [[]] * (7 + with_media)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]],

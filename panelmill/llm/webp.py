@@ -379,25 +379,8 @@ def cross_colour(c: np.ndarray, blocks: np.ndarray, size_bits: int, sign: int) -
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width, 4) as red, green, blue, alpha of one lossless WebP file."""
-    if len(data) < 25 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
-        raise BadImage("not a WebP file")
-    at, body = 12, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"VP8L":
-            body = data[at + 8 : at + 8 + size]
-            break
-        at += 8 + size + (size & 1)
-    if body is None or not body or body[0] != SIGNATURE:
-        raise BadImage("no lossless image")
-    bits = Bits(body)
-    bits.read(8)
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    with_alpha = bits.read(1)
-    if bits.read(3):
-        raise BadImage("unknown version")
+def read_transforms(bits: Bits, width: int, height: int) -> tuple[list[tuple], int]:
+    """The transforms of an image in the order of the file, and the width of what is stored."""
     undo, w, seen = [], width, set()
     while bits.read(1):
         kind = bits.read(2)
@@ -416,7 +399,11 @@ def decode(data: bytes) -> np.ndarray:
             w = (w + (1 << pack) - 1) >> pack
         else:
             undo.append((kind, 0, None))
-    c = _channels(_pixels(bits, w, height, True)).reshape(height, w, 4)
+    return undo, w
+
+
+def invert(c: np.ndarray, undo: list[tuple], height: int, with_alpha: bool) -> np.ndarray:
+    """The pixels whose transformed channels (alpha, red, green, blue) are c."""
     for kind, size, what in reversed(undo):
         if kind == PREDICTOR:
             c = undo_predictor(c, what[..., 2], size)
@@ -438,6 +425,29 @@ def decode(data: bytes) -> np.ndarray:
     return out
 
 
+def decode(data: bytes) -> np.ndarray:
+    """Pixels (height, width, 4) as red, green, blue, alpha of one lossless WebP file."""
+    if len(data) < 25 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise BadImage("not a WebP file")
+    at, body = 12, None
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"VP8L":
+            body = data[at + 8 : at + 8 + size]
+            break
+        at += 8 + size + (size & 1)
+    if body is None or not body or body[0] != SIGNATURE:
+        raise BadImage("no lossless image")
+    bits = Bits(body)
+    bits.read(8)
+    width, height = bits.read(14) + 1, bits.read(14) + 1
+    with_alpha = bits.read(1)
+    if bits.read(3):
+        raise BadImage("unknown version")
+    undo, w = read_transforms(bits, width, height)
+    return invert(_channels(_pixels(bits, w, height, True)).reshape(height, w, 4), undo, height, bool(with_alpha))
+
+
 def frames(data: bytes) -> list[bytes]:
     """The files of a sequence of WebP files."""
     out, at = [], 0
@@ -729,150 +739,3 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
                 spare -= 1 << (most - n)
     out[used] = size
     return out
-
-
-def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each symbol the code as it is read, and its length; a code of one symbol takes no bits."""
-    used = np.flatnonzero(lengths)
-    value, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    if len(used) > 1:
-        used = used[np.argsort(lengths[used], kind="stable")]
-        most = int(lengths.max())
-        step = 1 << (most - lengths[used])
-        value[used] = reversals(most)[np.cumsum(step) - step]
-        size[used] = lengths[used]
-    return value, size
-
-
-def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """_prefix_of for many."""
-    v = values - 1
-    extra = np.where(v < 4, 0, np.frexp(v.astype(np.float64))[1] - 2)
-    return np.where(v < 4, v, 2 * extra + 2 + ((v >> extra) & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
-
-
-@lru_cache(maxsize=4)
-def _places(width: int) -> np.ndarray:
-    """The distance codes of near pixels by distance; 0 for others."""
-    out = np.zeros(8 + 8 * width, np.int64)
-    for code, (x, y) in reversed(list(enumerate(NEAR, 1))):
-        if x + y * width > 0:
-            out[x + y * width] = code
-    return out
-
-
-def _copies(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and distances of copies, greedily from the left: each repeats the last place of its first three pixels."""
-    n = len(argb)
-    _, number = np.unique(argb, return_inverse=True)
-    many = int(number.max()) + 1
-    three = (number[:-2] * many + number[1:-1]) * many + number[2:]
-    order = np.argsort(three, kind="stable")
-    again = three[order[1:]] == three[order[:-1]]
-    back = np.zeros(max(0, n - 2), np.int64)
-    back[order[1:][again]] = (order[1:] - order[:-1])[again]
-    edges = np.flatnonzero(np.diff(back, prepend=-1))
-    far = back[edges]
-    out, at = [], 0
-    some = far > 0
-    for lo, hi, distance in zip(edges[some].tolist(), np.append(edges[1:], len(back))[some].tolist(), far[some].tolist()):
-        lo = max(lo, at)
-        if lo < hi:
-            at = hi + 2
-            out += [(k, min(4096, at - k), distance) for k in range(lo, at, 4096)]
-    found = np.array(out, np.int64).reshape(-1, 3)
-    return found[:, 0], found[:, 1], found[:, 2]
-
-
-def encode_general(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file with green subtracted, a colour cache, references and prefix codes by the counts of the symbols.
-
-    What encode does pixel by pixel is done here for all pixels at once.
-    """
-    h, width, _ = pixels.shape
-    w = Writer()
-    _header(w, width, h)
-    for value, n in ((1, 1), (SUBTRACT_GREEN, 2), (0, 1)):
-        w.write(value, n)
-    flat = pixels.reshape(-1, 4)
-    green, alpha = flat[:, 1].astype(np.int64), flat[:, 3].astype(np.int64)
-    red, blue = [(flat[:, k] - flat[:, 1]).astype(np.int64) for k in (0, 2)]
-    argb = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
-    n = len(argb)
-    cache_bits = min(10, max(1, n.bit_length() - 5))
-    slot = argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)
-    order = np.argsort(slot, kind="stable")
-    hit = np.zeros(n, bool)
-    hit[order[1:]] = argb[order[1:]] == argb[order[:-1]]  # the pixel before in the slot is the one it holds
-    start, length, distance = _copies(argb) if n > 2 else (np.zeros(0, np.int64),) * 3
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, start, 1)
-    np.add.at(step, start + length, -1)
-    begins = np.zeros(n, bool)
-    begins[start] = True
-    at = np.flatnonzero((np.cumsum(step[:-1]) == 0) | begins)
-    copy = begins[at]
-    cached = hit[at] & ~copy
-    plain = ~copy & ~cached
-    near = _places(width)
-    code = distance + len(NEAR)
-    close = distance < len(near)
-    close[close] = near[distance[close]] > 0
-    code[close] = near[distance[close]]
-    of_length, of_distance = _prefixes(length), _prefixes(code)
-    first = np.empty(len(at), np.int64)
-    first[plain] = green[at[plain]]
-    first[cached] = 256 + LENGTH_PREFIXES + slot[at[cached]].astype(np.int64)
-    first[copy] = 256 + of_length[0]
-    w.write(1, 1)
-    w.write(cache_bits, 4)
-    w.write(0, 1)  # one group
-    books = []
-    for symbols, size in ((first, 256 + LENGTH_PREFIXES + (1 << cache_bits)), (red[at[plain]], 256), (blue[at[plain]], 256), (alpha[at[plain]], 256),
-                          (of_distance[0], DISTANCE_PREFIXES)):
-        lengths = code_lengths(np.bincount(symbols, minlength=size))
-        write_lengths(w, lengths.tolist(), np.flatnonzero(lengths).tolist())
-        value, bits = _codes(lengths)
-        books.append((value[symbols], bits[symbols]))
-    value, bits = np.zeros((2, len(at), 4), np.int64)
-    for out, k in ((value, 0), (bits, 1)):
-        out[:, 0] = books[0][k]
-        for c in (1, 2, 3):
-            out[plain, c] = books[c][k]
-        out[copy, 1], out[copy, 2], out[copy, 3] = of_length[1 + k], books[4][k], of_distance[1 + k]
-    value, bits = value.reshape(-1), bits.reshape(-1)
-    ends = np.cumsum(bits)
-    parts = [w.bits()]
-    rows = np.searchsorted(ends, np.arange(0, int(ends[-1]), 1 << 20)).tolist() if len(ends) else []
-    for lo, hi in zip(rows, [*rows[1:], len(bits)]):
-        own = bits[lo:hi]
-        where = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-        parts.append(((np.repeat(value[lo:hi], own) >> where) & 1).astype(np.uint8))
-    return _file(np.concatenate(parts))
-
-
-def encode_flat(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file in which the channels have prefix codes of one length over the values that occur.
-
-    Such codes are written and read a whole image at a time.
-    """
-    h, width, _ = pixels.shape
-    w = Writer()
-    _header(w, width, h)
-    w.write(0, 3)  # no transform, no colour cache, one group
-    flat = pixels.reshape(-1, 4)
-    used = np.bincount(flat.reshape(-1), minlength=256) > 0
-    n = int(np.count_nonzero(used) - 1).bit_length()
-    lowest = int(used.argmax())
-    spare = [k % 256 for k in range(lowest, lowest + 256) if not used[k % 256]]
-    used[spare[: (1 << n) - np.count_nonzero(used)]] = True
-    code = Writer()
-    write_code(code, [max(n, 1) if u else 0 for u in used.tolist()] + [0] * LENGTH_PREFIXES)
-    w.parts += 4 * code.parts  # unused green symbols at the end are not written: all channels' codes read alike
-    write_code(w, [0] * DISTANCE_PREFIXES)
-    number = (np.cumsum(used) - 1).astype(np.uint8)
-    numbers = number[flat[:, [1, 0, 2, 3]]]
-    bits = np.empty((len(flat), 4, n), np.uint8)
-    for k in range(n):
-        np.bitwise_and(numbers >> (n - 1 - k), 1, out=bits[:, :, k])
-    return _file(np.concatenate([w.bits(), bits.reshape(-1)]))

@@ -1,9 +1,11 @@
 """Operators that decide row by row: quality, licenses, media, sharding, chat."""
 
+import base64
 import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, licenses, media, quality, sharding, webp
+from panelmill.llm import chat, licenses, media, quality, sharding, webp, webp_many
 from panelmill.llm.queries import SHARDS
 
 
@@ -157,7 +159,18 @@ def test_webp_round_trip(kind, shape):
     palette = [webp.Options(palette=True), webp.Options(palette=True, predictor=2, references=True, cache_bits=1)]
     for o in OPTIONS + (palette if kind not in ("noise", "smooth") else []):
         assert np.array_equal(webp.decode(webp.encode(image, o)), image), o
-    assert np.array_equal(webp.decode(webp.encode_flat(image)), image)
+
+
+#: A lossless file that another encoder made (the one-pixel file of the format's public FAQ).
+FOREIGN = "UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="
+
+
+def test_a_file_of_another_encoder(monkeypatch):
+    monkeypatch.setattr(webp_many, "FEW", 1)
+    data = base64.b64decode(FOREIGN)
+    image = webp.decode(data)
+    assert image.shape == (1, 1, 4) and image[0, 0, 3] == 0
+    assert np.array_equal(webp_many.decode_many([data])[0], image)
 
 
 def test_webp_refuses_broken_files():
@@ -174,38 +187,82 @@ def test_webp_refuses_broken_files():
 def test_payload_round_trip(data):
     payload = media.pad(data)
     assert len(payload) % 192 == 0 and payload.startswith(data) and set(payload[len(data) :]) <= {32}
-    assert b"".join(i.tobytes() for i in media.load(media.store(payload))) == payload
+    assert b"".join(i.tobytes() for i in media.load_many(media.store_many([payload]))[0]) == payload
 
 
-def test_stored_payloads_take_the_general_decoder(monkeypatch):
+def sample_texts():
     rng = random.Random(2)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(80)]
-    payload = media.pad(" ".join(rng.choice(vocabulary) for _ in range(2000)).encode())
-    seen = []
-    literals, code = webp._literals, webp.read_code
-    monkeypatch.setattr(webp, "_literals", lambda *a: seen.append(literals(*a)) or seen[-1])
-    codes = []
-    monkeypatch.setattr(webp, "read_code", lambda *a: codes.append(code(*a)) or codes[-1])
-    stored = media.store(payload)
-    assert b"".join(i.tobytes() for i in media.load(stored)) == payload
-    assert seen and all(x is None for x in seen) and len(stored) < 0.7 * len(payload)
-    green, red, _, _, distance = codes
-    assert green.fixed == red.fixed == -1 and len(distance.symbols) > 1
-    assert ((green.symbols >= 256) & (green.symbols < 280)).any() and (green.symbols >= 280).any()
-
-
-@pytest.mark.parametrize("kind", ["noise", "repeats", "smooth", "2", "200"])
-@pytest.mark.parametrize("shape", [(1, 1), (1, 3), (7, 48), (300, 48)])
-def test_general_round_trip(kind, shape):
-    image = picture(kind, *shape)
-    assert np.array_equal(webp.decode(webp.encode_general(image)), image)
+    prose = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(20, 400))) for _ in range(60)]
+    ramp = ["".join(chr(33 + (k * step + j) % 90) for k in range(300) for j in (0, 1, 2, 3)) for step in (1, 2, 3)]
+    return prose + ["ab" * 900, "a" * 3000, "x y " * 700, *ramp, "", "one", "ünï çödé 日本語 😀 " * 40]
+
+
+def test_stored_payloads_have_the_features_of_the_format(monkeypatch):
+    seen = Counter()
+    forms, codes = webp_many.choose_forms, webp_many.write_codes
+
+    def choose(*a):
+        out = forms(*a)
+        seen.update(webp_many.FORMS[k][0] for k in out.tolist())
+        return out
+
+    monkeypatch.setattr(webp_many, "choose_forms", choose)
+
+    def write(out, lengths, alphabet):
+        seen["unequal"] += int(sum(len(set(r[r > 0])) > 1 for r in lengths))
+        if lengths.shape[1] > 256:
+            seen["references"] += int((lengths[:, 256:280] > 0).any(axis=1).sum())
+            seen["cached"] += int((lengths[:, 280:] > 0).any(axis=1).sum())
+        codes(out, lengths, alphabet)
+
+    monkeypatch.setattr(webp_many, "write_codes", write)
+    payloads = [media.pad(t.encode()) for t in sample_texts()]
+    stored = media.store_many(payloads)
+    assert [b"".join(i.tobytes() for i in images) for images in media.load_many(stored)] == payloads
+    assert sum(map(len, stored)) < 0.6 * sum(map(len, payloads))
+    assert min(seen[k] for k in ("plain", "palette", "predictor", "unequal", "references", "cached")) > 0, seen
+    assert [media.store_many([p])[0] for p in payloads] == stored  # a file depends on its payload only
+
+
+@pytest.mark.parametrize("few", [1, 1000])
+def test_many_images_round_trip(few, monkeypatch):
+    monkeypatch.setattr(webp_many, "FEW", few)
+    images = [picture(kind, *shape) for kind in ("noise", "repeats", "smooth", "1", "2", "4", "13", "200") for shape in ((1, 1), (1, 3), (7, 48), (23, 30), (300, 48))]
+    files = webp_many.encode_many(images)
+    assert all(np.array_equal(a, b) for a, b in zip(webp_many.decode_many(files), images))
+    assert all(np.array_equal(webp.decode(f), image) for f, image in zip(files, images))
+    assert webp_many.encode_many([]) == [] == webp_many.decode_many([])
+
+
+def test_lanes_read_what_one_image_at_a_time_writes(monkeypatch):
+    monkeypatch.setattr(webp_many, "FEW", 1)
+    images = [picture(kind, 12, 20, seed) for seed, kind in enumerate(["noise", "repeats", "smooth", "4", "200"])]
+    files = [webp.encode(image, o) for image in images for o in OPTIONS]
+    want = [image for image in images for _ in OPTIONS]
+    assert all(np.array_equal(a, b) for a, b in zip(webp_many.decode_many(files), want))
+    good = webp.encode(picture("noise", 9, 9), webp.Options(cache_bits=3))
+    for cut in (11, 26, len(good) // 2):
+        with pytest.raises(webp.BadImage):
+            webp_many.decode_many([good[:cut]])
+
+
+@given(st.lists(st.lists(st.integers(0, 50), min_size=40, max_size=40), min_size=1, max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_codes_of_many_rows(rows):
+    counts = np.array(rows)
+    lengths = webp_many.lengths_many(counts, 7)
+    assert (lengths == np.stack([webp.code_lengths(c, 7) for c in counts])).all()
+    for own in lengths:
+        used = own[own > 0]
+        assert len(used) < 2 or sum(2.0 ** -n for n in used.tolist()) == 1
 
 
 def test_payload_of_many_images(monkeypatch):
     monkeypatch.setattr(media, "ROWS", 3)
     payload = media.pad(b"long text " * 300)
-    images = media.load(media.store(payload))
-    assert len(images) == 6 and b"".join(i.tobytes() for i in images) == payload
+    images = media.load_many(media.store_many([payload, payload]))
+    assert [len(x) for x in images] == [6, 6] and b"".join(i.tobytes() for i in images[0]) == payload
 
 
 def test_media_of_documents(spark, docs, rows, empty):
