@@ -24,8 +24,18 @@ def pad(data: bytes) -> bytes:
     return data + b" " * (-len(data) % ROW if data else ROW)
 
 
-def store_many(payloads: list[bytes]) -> list[bytes]:
-    """Each payload's bytes as samples of one or more WebP files, one after the other."""
+def store_many(payloads: list[bytes], at_once: int = 1 << 21) -> list[bytes]:
+    """Each payload's bytes as samples of one or more WebP files, one after the other; about `at_once` bytes are written together."""
+    out, lo = [], 0
+    ends = np.cumsum([len(p) for p in payloads])
+    while lo < len(payloads):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, "right")))
+        out += _store(payloads[lo:hi])
+        lo = hi
+    return out
+
+
+def _store(payloads: list[bytes]) -> list[bytes]:
     rows = [np.frombuffer(p, np.uint8).reshape(-1, ROW // 4, 4) for p in payloads]
     parts = [[r[lo : lo + ROWS] for lo in range(0, len(r), ROWS)] for r in rows]
     files = iter(webp_many.encode_many([image for images in parts for image in images]))

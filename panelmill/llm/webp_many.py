@@ -18,7 +18,7 @@ from panelmill.llm.webp import (
 #: The longest prefix code that is written, and that lanes read.
 LONGEST = 11
 #: Lanes, and pixels, handled together; fewer lanes are read one by one.
-LANES, PIXELS, FEW = 768, 1 << 19, 12
+LANES, PIXELS, FEW = 2048, 1 << 21, 64
 GREEN_SYMBOLS = 256 + LENGTH_PREFIXES
 #: Block bits of predictor and cross-colour images: one block is 512 pixels wide and high.
 BLOCK_BITS = 9
@@ -104,8 +104,8 @@ class _Lanes:
         return [data[4 * s : 4 * s + (n + 7) // 8] for s, n in zip(start.tolist(), self.done.tolist())]
 
 
-def write_codes(out: _Lanes, lengths: np.ndarray, alphabet: np.ndarray) -> None:
-    """Writes a prefix code of each lane."""
+def write_codes(out: _Lanes, lengths: np.ndarray, alphabet: np.ndarray, ids: np.ndarray) -> None:
+    """Writes a prefix code of each lane in ids."""
     used = lengths > 0
     many = used.sum(axis=1)
     first = used.argmax(axis=1)
@@ -115,7 +115,7 @@ def write_codes(out: _Lanes, lengths: np.ndarray, alphabet: np.ndarray) -> None:
     if len(at):
         two, wide, f = many[at] == 2, first[at] > 1, first[at]
         one = np.ones(len(at), np.int64)
-        out.each(at, np.stack([one, two, wide, f, np.where(two, last[at], 0)], 1).astype(np.int64),
+        out.each(ids[at], np.stack([one, two, wide, f, np.where(two, last[at], 0)], 1).astype(np.int64),
                  np.stack([one, one, one, np.where(wide, 8, 1), np.where(two, 8, 0)], 1))
     rows = np.flatnonzero(~simple)
     if not len(rows):
@@ -141,16 +141,16 @@ def write_codes(out: _Lanes, lengths: np.ndarray, alphabet: np.ndarray) -> None:
     told = meta[:, LENGTH_ORDER]
     n = np.maximum(4, 19 - (told > 0)[:, ::-1].argmax(axis=1))
     shown = np.arange(19) < n[:, None]
-    out.each(rows, np.concatenate([np.zeros((len(rows), 1), np.int64), (n - 4)[:, None], told * shown], 1),
+    out.each(ids[rows], np.concatenate([np.zeros((len(rows), 1), np.int64), (n - 4)[:, None], told * shown], 1),
              np.concatenate([np.ones((len(rows), 1), np.int64), np.full((len(rows), 1), 4), 3 * shown], 1))
     tokens = np.bincount(token_row, minlength=len(rows))
     short = tokens < alphabet[rows]
     need = np.maximum(2, np.frexp(np.maximum(tokens - 2, 0).astype(np.float64))[1])
     need += need & 1
-    out.each(rows, np.stack([short, np.where(short, (need - 2) // 2, 0), np.where(short, tokens - 2, 0)], 1).astype(np.int64),
+    out.each(ids[rows], np.stack([short, np.where(short, (need - 2) // 2, 0), np.where(short, tokens - 2, 0)], 1).astype(np.int64),
              np.stack([np.ones(len(rows), np.int64), np.where(short, 3, 0), np.where(short, need, 0)], 1))
     own = size[token_row, token]
-    out.add(rows[token_row], code[token_row, token] | extra << own, own + extra_bits)
+    out.add(ids[rows[token_row]], code[token_row, token] | extra << own, own + extra_bits)
 
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,9 +239,10 @@ def choose_forms(flat: np.ndarray, argb: np.ndarray, lane: np.ndarray, height: n
     return sizes.argmin(axis=0)
 
 
-def _prepare(w: Writer, image: np.ndarray, form: int) -> tuple[np.ndarray, int]:
-    """Writes the transforms of one image; its ARGB values under them and their width."""
+def _prepare(w: Writer, image: np.ndarray, form: int) -> tuple[np.ndarray, int, np.ndarray | None]:
+    """Writes the transforms of one image but for a palette's colours; its ARGB values under them, their width and the colours."""
     h, width, _ = image.shape
+    table = None
     kind, what = FORMS[form]
     c = image[..., [3, 0, 1, 2]].astype(np.int32)
     if kind == "green":
@@ -254,7 +255,7 @@ def _prepare(w: Writer, image: np.ndarray, form: int) -> tuple[np.ndarray, int]:
         w.write(1, 1)
         w.write(PALETTE, 2)
         w.write(len(colours) - 1, 8)
-        _write_pixels(w, _joined(np.diff(_channels(colours), axis=0, prepend=0)), len(colours), Options(), False)
+        table = _joined(np.diff(_channels(colours), axis=0, prepend=0))
         pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
         wide = (width + (1 << pack) - 1) >> pack
         number = np.pad(number.reshape(h, width), ((0, 0), (0, (wide << pack) - width))).reshape(h, wide, 1 << pack)
@@ -280,8 +281,7 @@ def _prepare(w: Writer, image: np.ndarray, form: int) -> tuple[np.ndarray, int]:
             guess[1:, 1:] = c[1:, :-1] if what == 1 else c[:-1, 1:]
             guess[0, 0] = (255, 0, 0, 0)
             c = (c - guess) & 255
-    w.write(0, 1)
-    return _joined(c).reshape(-1), width
+    return _joined(c).reshape(-1), width, table
 
 
 def encode_many(images: list[np.ndarray]) -> list[bytes]:
@@ -298,21 +298,26 @@ def encode_many(images: list[np.ndarray]) -> list[bytes]:
     lane = np.repeat(np.arange(len(images)), height * width)
     forms = choose_forms(flat, argb, lane, height, width)
     bounds = np.concatenate([[0], np.cumsum(height * width)]).tolist()
-    out, heads, values = _Lanes(len(images)), [], []
+    out, heads, values, palettes = _Lanes(len(images)), [], [], {}
     for k, (image, form) in enumerate(zip(images, forms.tolist())):
         w = Writer()
         _header(w, image.shape[1], image.shape[0])
         if form:
-            own, width[k] = _prepare(w, image, form)
+            own, width[k], table = _prepare(w, image, form)
             values.append(own)
+            if table is not None:
+                palettes[k] = table
         else:
-            w.write(0, 1)
             values.append(argb[bounds[k] : bounds[k + 1]])
         heads.append(w.parts)
+    every = np.arange(len(images))
     own = np.array([len(p) for p in heads])
     parts = np.array([x for p in heads for x in p], np.int64)
-    out.add(np.repeat(np.arange(len(images)), own), parts[:, 0], parts[:, 1])
-    _write_many(out, values, width)
+    out.add(np.repeat(every, own), parts[:, 0], parts[:, 1])
+    if palettes:
+        _write_many(out, list(palettes.values()), np.array([len(t) for t in palettes.values()]), np.array(list(palettes)), False)
+    out.add(every, np.zeros(len(images), np.int64), np.ones(len(images), np.int64))  # no further transform
+    _write_many(out, values, width, every, True)
     return [_riff(body) for body in out.files()]
 
 
@@ -321,8 +326,8 @@ def _riff(body: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
-def _write_many(out: _Lanes, values: list[np.ndarray], width: np.ndarray) -> None:
-    """The entropy-coded images of all lanes."""
+def _write_many(out: _Lanes, values: list[np.ndarray], width: np.ndarray, ids: np.ndarray, top: bool) -> None:
+    """The entropy-coded images of the lanes in ids; top: they are not part of a transform."""
     lanes = len(values)
     size = np.array([len(v) for v in values])
     argb = np.concatenate(values)
@@ -362,9 +367,9 @@ def _write_many(out: _Lanes, values: list[np.ndarray], width: np.ndarray) -> Non
     first[plain] = green[at[plain]]
     first[cached] = GREEN_SYMBOLS + slot[at[cached]]
     first[copy] = 256 + of_length[0]
-    every = np.arange(lanes)
     has = cache_bits > 0
-    out.each(every, np.stack([has, cache_bits, np.zeros(lanes, np.int64)], 1).astype(np.int64), np.stack([np.ones(lanes, np.int64), np.where(has, 4, 0), np.ones(lanes, np.int64)], 1))
+    out.each(ids, np.stack([has, cache_bits, np.zeros(lanes, np.int64)], 1).astype(np.int64),
+             np.stack([np.ones(lanes, np.int64), np.where(has, 4, 0), np.full(lanes, int(top))], 1))
     literal = argb[at[plain]]
     channel = lambda shift: (literal >> np.uint32(shift) & np.uint32(255)).astype(np.int64)
     alphabet = GREEN_SYMBOLS + np.where(has, 1 << cache_bits, 0)
@@ -374,7 +379,7 @@ def _write_many(out: _Lanes, values: list[np.ndarray], width: np.ndarray) -> Non
         sizes = np.broadcast_to(np.asarray(sizes), lanes)
         wide = int(sizes.max())
         lengths = lengths_many(np.bincount(of * wide + symbols, minlength=lanes * wide).reshape(lanes, wide), LONGEST)
-        write_codes(out, lengths, sizes)
+        write_codes(out, lengths, sizes, ids)
         value, bits = codes_many(lengths)
         books.append((value[of, symbols], bits[of, symbols]))
     value, bits = np.zeros((2, len(at), 4), np.int64)
@@ -383,7 +388,7 @@ def _write_many(out: _Lanes, values: list[np.ndarray], width: np.ndarray) -> Non
         for c in (1, 2, 3):
             matrix[plain, c] = books[c][k]
         matrix[copy, 1], matrix[copy, 2], matrix[copy, 3] = of_length[1 + k], books[4][k], of_distance[1 + k]
-    out.add(np.repeat(own, 4), value.reshape(-1), bits.reshape(-1))
+    out.add(np.repeat(ids[own], 4), value.reshape(-1), bits.reshape(-1))
 
 
 # ---------------------------------------------------------------- reading
@@ -393,27 +398,27 @@ class _Reader:
     """The bits of many streams; `at` are positions in all of them together."""
 
     def __init__(self, bodies: list[bytes]):
-        padded = [b + b"\0" * (16 - len(b) % 4) for b in bodies]
+        padded = [b + b"\0" * 8 for b in bodies]
         size = np.array([len(p) for p in padded])
         self.start = 8 * (np.cumsum(size) - size)
         self.end = self.start + 8 * np.array([len(b) for b in bodies])
-        halves = np.frombuffer(b"".join(padded), "<u4").astype(np.uint64)
-        self.words = halves.copy()
-        self.words[:-1] |= halves[1:] << np.uint64(32)
+        data = np.frombuffer(b"".join(padded) + b"\0" * 8, np.uint8)
+        #: The 64 bits from each byte on.
+        self.words = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<i8")[:, 0]
 
     def word(self, at: np.ndarray) -> np.ndarray:
-        """33 bits at least from each position."""
-        return (self.words.take(at >> 5, mode="clip") >> (at & 31).astype(np.uint64)).astype(np.int64) & 0x7FFFFFFFFFFFFFFF
+        """57 bits from each position; what is above repeats the sign."""
+        return self.words.take(at >> 3, mode="clip") >> (at & 7)
 
     def read(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        """The next n bits of each (at most 32); moves at."""
+        """The next n bits of each (at most 57); moves at."""
         out = self.word(at) & ((1 << np.asarray(n, np.int64)) - 1)
         at += n
         return out
 
 
-def _tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(entries of all rows, where each row's begin, its mask, rows that aren't codes of lanes): entry: symbol times 16 plus its length."""
+def _tables(lengths: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(entries of all rows, where each row's begin, its mask, rows that aren't codes of lanes); an entry is the symbol, shifted left, times 64 plus its length."""
     used = lengths > 0
     many = used.sum(axis=1)
     bits = np.where(many > 1, lengths.max(axis=1), 0)
@@ -424,7 +429,7 @@ def _tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     row, symbol = np.nonzero(used & ((many > 1) & ~odd)[:, None])
     n = lengths[row, symbol]
     order = np.lexsort((symbol, n, row))
-    row, entry, n = row[order], (symbol << 4 | n)[order], n[order]
+    row, entry, n = row[order], (symbol << shift + 6 | n)[order], n[order]
     single = bits == 0
     table = np.zeros(int((1 << bits).sum()), np.int64)
     spread = np.repeat(entry, 1 << (bits[row] - n))
@@ -432,7 +437,7 @@ def _tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     first = np.cumsum(np.where(single, 0, 1 << bits)) - np.where(single, 0, 1 << bits)
     within = np.arange(len(spread)) - first[owner]
     table[start[owner] + within] = spread[first[owner] + (reversals(15)[within] >> (15 - bits[owner]))]
-    table[start[single]] = used[single].argmax(axis=1) << 4
+    table[start[single]] = used[single].argmax(axis=1) << shift + 6
     return table, start, (1 << bits) - 1, odd
 
 
@@ -473,7 +478,7 @@ def _read_codes(r: _Reader, at: np.ndarray, alphabet: np.ndarray, odd: np.ndarra
         place = own[live]
         word = r.word(place)
         e = table[start[live] + (word & mask[live])]
-        used, token = e & 15, e >> 4
+        used, token = e & 63, e >> 6
         here = symbol[live]
         one = token < 16
         lengths[rows[live], here] = np.where(one, token, 0)
@@ -515,12 +520,14 @@ def _read_pixels(r: _Reader, at: np.ndarray, width: np.ndarray, size: np.ndarray
     cache_bits[odd] = 0
     odd |= r.read(at, 1) > 0  # several groups of codes
     tables = []
-    for alphabet in (GREEN_SYMBOLS + np.where(cache_bits > 0, 1 << cache_bits, 0), *[np.full(lanes, n) for n in (256, 256, 256, DISTANCE_PREFIXES)]):
-        lengths = _read_codes(r, at, alphabet, odd)
-        table, start, mask, bad = _tables(lengths)
+    sizes = (GREEN_SYMBOLS + np.where(cache_bits > 0, 1 << cache_bits, 0), *[np.full(lanes, n) for n in (256, 256, 256, DISTANCE_PREFIXES)])
+    for alphabet, shift in zip(sizes, (8, 16, 0, 24, 0)):
+        table, start, mask, bad = _tables(_read_codes(r, at, alphabet, odd), shift)
         odd |= bad
         tables.append((table, start, mask))
-    (greens, green, green_mask), (reds, red, red_mask), (blues, blue, blue_mask), (alphas, alpha, alpha_mask), (distances, far, far_mask) = tables
+    entries = [t for t, _, _ in tables]
+    places = [x for _, start, mask in tables[:4] for x in (start, mask)]
+    _, far, far_mask = tables[4]
     base = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.int64)
     slots = np.where(cache_bits > 0, 1 << cache_bits, 1)
@@ -531,39 +538,46 @@ def _read_pixels(r: _Reader, at: np.ndarray, width: np.ndarray, size: np.ndarray
     left, back = np.zeros(lanes, np.int64), np.ones(lanes, np.int64)
     near = np.array(NEAR)
     active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left").tolist()  # lanes with more than t pixels
-    copying = 0
+    special_from = 256 << 14
+    greens, reds, blues, alphas, distances = entries
+    copying, before = 0, -1
     for t, n in enumerate(active):
-        value = np.zeros(n, np.int64)
+        if n != before:
+            before = n
+            all_places, at_n, base_n, own_n, shift_n = [x[:n] for x in places], at[:n], base[:n], own_cache[:n], shift[:n]
         if copying:
             mine = np.flatnonzero(left[:n] == 0)
-            place, g, rd, bl, al = at[mine], green[mine], red[mine], blue[mine], alpha[mine]
-            gm, rm, bm, am = green_mask[mine], red_mask[mine], blue_mask[mine], alpha_mask[mine]
+            place, (g, gm, rd, rm, bl, bm, al, am) = at[mine], [x[mine] for x in all_places]
         else:
-            mine = None
-            place, g, rd, bl, al = at[:n], green[:n], red[:n], blue[:n], alpha[:n]
-            gm, rm, bm, am = green_mask[:n], red_mask[:n], blue_mask[:n], alpha_mask[:n]
+            mine, place = None, at_n
+            g, gm, rd, rm, bl, bm, al, am = all_places
+        value = np.zeros(n, np.int64) if copying else None
         if len(place):
-            word = r.word(place)
-            e = greens[g + (word & gm)]
-            symbol, used = e >> 4, e & 15
-            f = reds[rd + (word >> used & rm)]
-            further = place + used + (f & 15)
-            word = r.word(further)
-            b = blues[bl + (word & bm)]
-            a = alphas[al + (word >> (b & 15) & am)]
-            got = (a >> 4) << 24 | (f >> 4) << 16 | symbol << 8 | b >> 4
-            moved = further + (b & 15) + (a & 15)
-            special = np.flatnonzero(symbol >= 256)
-            if len(special):
+            # four symbols of 12 bits at most are within one word
+            word = r.words.take(place >> 3, mode="clip") >> (place & 7)
+            e = greens.take((word & gm) + g)
+            got = e
+            word = word >> (e & 63)
+            f = reds.take((word & rm) + rd)
+            got = got + f
+            word >>= f & 63
+            f = blues.take((word & bm) + bl)
+            got += f
+            word >>= f & 63
+            got += alphas.take((word & am) + al)
+            moved = place + (got & 63)
+            got >>= 6
+            if e.max() >= special_from:
+                special = np.flatnonzero(e >= special_from)
                 lane = special if mine is None else mine[special]
-                s, p = symbol[special], place[special] + used[special]
+                s, p = e[special] >> 14, place[special] + (e[special] & 63)
                 copies = s < GREEN_SYMBOLS
                 if copies.any():
                     c, q = lane[copies], p[copies]
                     length = _values(r, q, s[copies] - 256)
                     d = distances[far[c] + (r.word(q) & far_mask[c])]
-                    q += d & 15
-                    code = _values(r, q, d >> 4)
+                    q += d & 63
+                    code = _values(r, q, d >> 6)
                     close = near[np.minimum(code, len(NEAR)) - 1]
                     distance = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, close[:, 0] + close[:, 1] * width[c]))
                     bad = (distance > t) | (t + length > size[c])
@@ -571,24 +585,23 @@ def _read_pixels(r: _Reader, at: np.ndarray, width: np.ndarray, size: np.ndarray
                     distance[bad], length[bad] = max(t, 1), 1
                     left[c], back[c] = length, distance
                     p[copies] = q
+                    copying += len(c)
                 moved[special] = p
                 got[special] = cache[own_cache[lane] + np.where(copies, 0, np.minimum(s - GREEN_SYMBOLS, slots[lane] - 1))]
             if mine is None:
-                at[:n] = moved
+                at_n[:] = moved
                 value = got
             else:
                 at[mine] = moved
                 value[mine] = got
-            if len(special):
-                copying = int(np.count_nonzero(left[:n]))
         if copying:
             c = np.flatnonzero(left[:n])
             value[c] = out[base[c] + np.maximum(t - back[c], 0)]
             left[c] -= 1
             copying = int(np.count_nonzero(left[: active[t + 1]])) if t + 1 < len(active) else 0
-        out[base[:n] + t] = value
+        out[base_n + t] = value
         if any_cache:
-            cache[own_cache[:n] + ((value * CACHE_FACTOR & 0xFFFFFFFF) >> shift[:n])] = value
+            cache[own_n + ((value * CACHE_FACTOR & 0xFFFFFFFF) >> shift_n)] = value
     odd |= at > r.end
     bounds = [*base.tolist(), len(out)]
     out = out.astype(np.uint32)

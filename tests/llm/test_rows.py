@@ -209,12 +209,12 @@ def test_stored_payloads_have_the_features_of_the_format(monkeypatch):
 
     monkeypatch.setattr(webp_many, "choose_forms", choose)
 
-    def write(out, lengths, alphabet):
+    def write(out, lengths, alphabet, ids):
         seen["unequal"] += int(sum(len(set(r[r > 0])) > 1 for r in lengths))
         if lengths.shape[1] > 256:
             seen["references"] += int((lengths[:, 256:280] > 0).any(axis=1).sum())
             seen["cached"] += int((lengths[:, 280:] > 0).any(axis=1).sum())
-        codes(out, lengths, alphabet)
+        codes(out, lengths, alphabet, ids)
 
     monkeypatch.setattr(webp_many, "write_codes", write)
     payloads = [media.pad(t.encode()) for t in sample_texts()]
