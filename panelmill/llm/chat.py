@@ -17,14 +17,14 @@ Turn = tuple[str, str]
 
 #: Strings that steer a chat template; inside texts they are escaped (fixed values).
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-_ESCAPE = re.compile("|".join([r"\\", *sorted(map(re.escape, CONTROL), key=len, reverse=True)]))
+_ESCAPE = re.compile("|".join([r"\\", *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL)]))
 _UNESCAPE = re.compile(r"\\(\\?)")
 _TURN = re.compile(r"<\|turn\|>(.*?)<\|says\|>(.*?)<\|end\|>\n", re.S)
 
 
 def escape(text: str) -> str:
-    """Doubles backslashes and puts a lone one after the first character of a control string."""
-    return _ESCAPE.sub(lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:], text)
+    """Doubles backslashes and puts a lone one after the first character of every control string, overlapping ones too."""
+    return _ESCAPE.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:
@@ -111,9 +111,8 @@ def locate(template: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[st
     return before, spans
 
 
-def digest(conv_id: int | None, turns: list[Turn], learn: str = "assistant") -> dict:
+def digest(conv_id: int | None, formatted: str, spans: list[Span], learn: str = "assistant") -> dict:
     """What the production template's output says, read from that output."""
-    formatted, spans = locate(render, turns)
     read = read_back(formatted)
     sha, loss_sha, loss = hashlib.sha256(), hashlib.sha256(), 0
     for (role, text), span in zip(read, spans, strict=True):
@@ -126,31 +125,40 @@ def digest(conv_id: int | None, turns: list[Turn], learn: str = "assistant") ->
             "loss_sha256": loss_sha.hexdigest(), "formatted_chars": len(formatted)}
 
 
-def format_chats(df: DataFrame, with_output: bool = False) -> DataFrame:
+def format_chats(df: DataFrame, with_output: bool = False, template: Callable[[list[Turn]], str] = render) -> DataFrame:
     """One row per conversation (conv_id, turn, role, text): digests, and with_output also the formatted text and loss spans.
 
+    error says why a conversation couldn't be formatted (the template rewrites history, or its output doesn't read back); its
+    other columns are null, and the other conversations aren't touched.
+
     Rows are dealt by conv_id and read in the order of turn (null last; ties by role, then text), so
     repeated rows are repeated turns. Null text and role are empty; null conv_id is a conversation.
     One conversation at a time is in memory: its formatted text is one value of the result. An empty
     table gives an empty result.
     """
-    fields = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    fields = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, error string"
+    names = [f.split()[0] for f in fields.split(", ")]
     if with_output:
         fields += ", formatted string, loss_spans array<struct<start: long, end: long>>"
 
     def frame(out: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(out).assign(conv_id=pd.array([r["conv_id"] for r in out], "Int64"))
+        numbers = {c: pd.array([r.get(c) for r in out], "Int64") for c in ("conv_id", "n_turns", "loss_chars", "formatted_chars")}
+        return pd.DataFrame([{c: r.get(c) for c in [*names, *["formatted", "loss_spans"] * with_output]} for r in out]).assign(**numbers)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for pdf in runs(batches, ["conv_id"]):
             key = pdf["conv_id"].iloc[0]
             turns = list(zip(pdf["role"], pdf["text"]))
-            row = digest(None if pd.isna(key) else int(key), turns)
-            if with_output:
-                formatted, spans = locate(render, turns)
-                row |= {"formatted": formatted, "loss_spans": [
-                    {"start": s.text_start, "end": s.text_end} for (r, _), s in zip(turns, spans) if r == "assistant"]}
+            conv_id = None if pd.isna(key) else int(key)
+            try:
+                formatted, spans = locate(template, turns)
+                row = digest(conv_id, formatted, spans)
+                if with_output:
+                    row |= {"formatted": formatted, "loss_spans": [
+                        {"start": s.text_start, "end": s.text_end} for (r, _), s in zip(turns, spans) if r == "assistant"]}
+            except ValueError as e:
+                row = {"conv_id": conv_id, "error": str(e)}
             out.append(row)
             if len(out) >= 1000:
                 yield frame(out)

@@ -28,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back.
+def settle(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet below the shared folder and read it back; instead_of is a settled table that goes once df is complete.
 
     Cuts the lineage: what follows survives the loss of executors, and an expensive
     Python pass with several consumers runs once.
@@ -43,7 +43,29 @@ def settle(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if had is None else spark.conf.set(CLEANUP, had)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    if instead_of is not None:
+        release(instead_of)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove a settled table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def input_bytes(df: DataFrame) -> int | None:
@@ -83,13 +105,17 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(held, ignore_index=True)
 
 
+#: Lists that a node's neighbours are dealt to, so that no task gets all neighbours of a hub.
+HUB_LISTS = 256
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) per node, root the smallest node reachable.
 
-    Alternates the large-star and small-star steps. Each step takes minima by a hash
-    aggregate (combined before the shuffle) and one equi join, so a hub with very many
-    neighbours is never gathered in one place. Every round is written to the shared
-    folder. Nulls and self-loops in edges are ignored; an empty input gives an empty result.
+    Alternates the large-star and small-star steps. A node's neighbours travel in lists dealt by node and hash, so a hub
+    is some lists in many tasks and joins its minimum, which is combined before the shuffle, a few hundred times at most. Every
+    round is written to the shared folder and replaces the one before. Nulls and self-loops in edges are ignored; an empty
+    input gives an empty result.
     """
     def tidy(df: DataFrame) -> DataFrame:
         return df.where(F.col("a") != F.col("b")).select(
@@ -99,20 +125,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return row["n"], row["h"]
 
+    def star(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Lists of b for each a with the least of them all, and that least."""
+        lists = df.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(HUB_LISTS)).alias("list")).agg(F.collect_list("b").alias("bs"))
+        least = lists.groupBy("a").agg(F.min(F.array_min("bs")).alias("m"))
+        return lists.join(least, "a"), least
+
     now = settle(tidy(edges.select("a", "b").dropna()))
     seen = mark(now)
     for _ in range(max_rounds):
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = tidy(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b")))
-        now = settle(tidy(small))
+        lists, _least = star(both)
+        larger = F.explode(F.filter("bs", lambda b: b > F.col("a")))
+        large = tidy(lists.select(larger.alias("a"), F.least("a", "m").alias("b")))
+        lists, least = star(large)
+        small = lists.select(F.explode("bs").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        now = settle(tidy(small), now)
         after = mark(now)
         if after == seen:
             break

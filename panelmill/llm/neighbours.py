@@ -266,12 +266,16 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "vec_
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
-            for label, width, n, vector in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            alike: dict[tuple[int, int], list[int]] = {}
+            for k, of in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                alike.setdefault(of, []).append(k)
+            keys: list[list[int]] = [[]] * b.num_rows
+            for (width, n), rows in alike.items():
                 bits, times = splits(n, s)
-                unit_vector = np.asarray(vector, np.float64)
-                keys.append([sum(1 << k for k in np.flatnonzero(unit_vector @ np.random.default_rng([s.seed, width, t]).normal(size=(width, bits)) > 0).tolist())
-                             for t in range(times)])
+                part = b.column(4).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+                codes = [((part @ np.random.default_rng([s.seed, width, t]).normal(size=(width, bits))) > 0) @ (1 << np.arange(bits)) for t in range(times)]
+                for k, own in zip(rows, np.stack(codes, 1).tolist()):
+                    keys[k] = own
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.list_(pa.int64()))], names=["node", "label", "width", "keys"])
 
     kind = df.schema[label_col].dataType.simpleString()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import blocks, components, groups, scatter_width, settle, spanning
+from panelmill.llm.common import blocks, components, fresh, groups, scatter_width, settle, spanning
 from panelmill.llm.shingles import minhash, permutations, shingle_set
 
 
@@ -256,14 +256,16 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of docs without near copies: of each class one row, that of the least doc_id (null last), then text_hash.
 
     A class is what links connect, not a class_id: rows without a doc_id, or with the doc_id of another text, stay if they
-    link with nothing. So do all rows without words. Columns as in docs.
+    link with nothing. So do all rows with null, empty or wordless texts, repeated or not; of repeated rows with words one stays.
+    Columns as in docs, of any names and types. An empty table gives an empty result.
     """
     prints, named = classes(docs, s, "doc_id", "text")
     least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_hash")).alias("least"))
-    firsts = least.select(F.col("least.rep").alias("kept_id"), F.col("least.text_hash").alias("kept_hash"), F.lit(True).alias("kept_once"))
+    own, kept_id, kept_hash, once, number = fresh(docs.columns, "own_hash", "kept_id", "kept_hash", "once", "number")
+    firsts = least.select(F.col("least.rep").alias(kept_id), F.col("least.text_hash").alias(kept_hash), F.lit(True).alias(once))
     alone = prints.where("node is null").select("doc_id", "text_hash", F.lit(False)).distinct()
-    stay = firsts.union(alone).withColumnRenamed("kept_hash", "stay_hash")
-    rows = docs.withColumn("kept_hash", F.xxhash64("text"))
-    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["kept_id"]) & (rows["kept_hash"] == stay["stay_hash"]))
-    rows = rows.withColumn("kept_row", F.when(F.col("kept_once"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["doc_id", "kept_hash", "kept_row"]).select(*docs.columns)
+    stay = firsts.union(alone)
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay[kept_id]) & (rows[own] == stay[kept_hash]))
+    rows = rows.withColumn(number, F.when(F.col(once), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["doc_id", own, number]).select(*docs.columns)

@@ -149,25 +149,26 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack(cut_up: DataFrame, capacity: int = 1024, bucket_rows: int = 4096) -> DataFrame:
+def pack(cut_up: DataFrame, capacity: int = 1024, bucket_rows: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, ...).
 
     Only the histogram of lengths, at most capacity rows, comes to the driver; the plan that goes back
     has a few rows per length. A piece finds its place by its rank among pieces of its length: ranks
     are a bucket's offset plus the rank in the bucket, so a length that a third of all pieces share
-    is dealt to many tasks. Repeated rows are packed each on its own; an empty input gives an empty result.
+    is dealt to many tasks. Buckets are dealt by the number that a row gets when the pieces are written, so equal ids, null
+    ids and repeated rows spread like others. Repeated rows are packed each on its own; an empty input gives an empty result.
     """
     spark = cut_up.sparkSession
-    held = settle(cut_up)
+    held = settle(cut_up.withColumn("number", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 0 < n <= capacity for n in histogram):
         raise ValueError("a piece is empty or longer than the capacity")
     wide = max(1, -(-max(histogram.values(), default=0) // bucket_rows))
-    rows = held.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(wide)))
+    rows = held.withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(wide)))
     sums = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("number")
     rows = rows.withColumn("inside", F.row_number().over(inside) - 1).join(sums, ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.col("inside"))
     fields = "p_length long, p_lo long, p_hi long, p_bin long, p_per long, p_offset long"
     steps = F.broadcast(spark.createDataFrame(plan(histogram, capacity), fields))
@@ -179,5 +180,9 @@ def pack(cut_up: DataFrame, capacity: int = 1024, bucket_rows: int = 4096) -> Da
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 1024, **kw) -> DataFrame:
-    """Tokenize, cut and pack whole texts. Null text is empty: the end id alone."""
+    """Tokenize, cut and pack whole texts: one row per piece, with its place.
+
+    Null and empty texts are the end id alone. Null and repeated ids and repeated rows are documents of their own. Other columns
+    don't matter, whatever their names. An empty table gives an empty result.
+    """
     return pack(pieces(df, tokenizer, capacity=capacity, **kw), capacity)

@@ -101,16 +101,21 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) -> Model:
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def shares(text: str | None, s: Settings) -> Features:
+    """The text's buckets and the share each has of its features."""
+    ids, n = featurize(text, s)
+    return ids.astype(np.int32), (n / n.sum() if len(n) else n).astype(np.float32)
+
+
+def fit(docs: list[Features], labels: list[int], s: Settings = Settings()) -> Model:
     """Stochastic gradient descent, one document a step, the rate falling to zero. No rows: a constant 0.5."""
     rng = np.random.default_rng(s.seed)
     table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim))
     out = np.zeros((s.dim, 2))
     bias = np.zeros(2)
-    docs = []
-    for t in texts:
-        ids, n = featurize(t, s)
-        docs.append((ids.astype(np.int32), (n / n.sum() if len(n) else n).astype(np.float32)))
     steps, done = max(1, s.epochs * len(docs)), 0
     for _ in range(s.epochs):
         for i in rng.permutation(len(docs)):
@@ -131,49 +136,65 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Whether crc32 of the id as text leaves 1 modulo 3; a null id isn't held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text",
-                  label_col: str = "quality") -> list[tuple[str | None, int]]:
-    """At most sample_rows labelled rows that aren't held out, by the hash of their id.
+                  label_col: str = "quality") -> list[tuple[Features, int]]:
+    """Features and label of at most sample_rows labelled rows that aren't held out, in the order of their ids.
 
-    Ids whose labels contradict each other and null labels teach nothing. Only sample_rows ids, then
-    their texts, come to the driver.
+    Ids whose labels contradict each other and null labels teach nothing; of several texts of one id the least does. Only
+    sample_rows ids, those of the least hash, come to the driver, then their features: the buckets of a text, which the
+    executors count; whole texts never come.
     """
     clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(
-        F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~F.coalesce(held_out("id"), F.lit(True)))
+        F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
     clean = clean.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     order = F.xxhash64(F.col("id"), F.lit(s.seed))
     few = clean.orderBy(order, "id").limit(s.sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
-    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    return [(r.text, r.y) for r in sorted(rows.collect(), key=lambda r: r.id)]
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("id", "y", "text")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shares(t.as_py(), s) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x, _ in found], pa.binary()),
+                                              pa.array([x.tobytes() for _, x in found], pa.binary())], names=["id", "y", "buckets", "shares"])
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5 on) to every row.
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.mapInArrow(count, f"id {kind}, y int, buckets binary, shares binary").collect()
+    return [((np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)), r.y) for r in sorted(found, key=lambda r: r.id)]
+
+
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """Adds the score (0 to 1, higher: label 1 likelier) and the prediction (1 from 0.5 on) to every row.
 
     Whole texts are scored, block by block. Null and empty texts, and texts of white space only, get the
-    score of no features (the bias). Other columns stay, whatever their names, but score and predicted
-    are replaced. An empty table gives an empty result.
+    score of no features (the bias). Repeated rows get equal scores; ids don't matter. Other columns stay, whatever their names,
+    but columns of the two names are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.settings))
-    rest = docs.drop("score", "predicted")
-    schema = rest.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    rest = docs.drop(score_col, predicted_col)
+    schema = rest.select("*", F.lit(0.0).alias(score_col), F.lit(0).alias(predicted_col)).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
         for b in batches:
-            scores = pa.array([own.score(t) for t in b.column(text_col).to_pylist()], pa.float64())
-            named = pa.array([int(x >= 0.5) for x in scores.to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores, named], names=[*b.schema.names, "score", "predicted"])
+            scores = [own.score(t.as_py()) for t in b.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())],
+                                             names=[*b.schema.names, score_col, predicted_col])
 
     return rest.mapInArrow(work, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_col: str = "quality") -> DataFrame:
-    """Fit on the labelled rows that aren't held out, score every document."""
+def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_col: str = "quality", score_col: str = "score",
+             predicted_col: str = "predicted") -> DataFrame:
+    """Fit on the labelled rows that aren't held out, score every document.
+
+    Labels that are null, contradict each other or name no document teach nothing; without any that teach, all scores are 0.5.
+    Rows are treated as by score_documents.
+    """
     pairs = training_rows(docs, labels, s, label_col=label_col)
-    return score_documents(docs, fit([t for t, _ in pairs], [y for _, y in pairs], s))
+    return score_documents(docs, fit([t for t, _ in pairs], [y for _, y in pairs], s), "text", score_col, predicted_col)

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from panelmill.llm import chat, licenses, media, mixing, neighbours, ngram_join, packing, quality, sharding, suffix_dedup
 from panelmill.llm.tokens import tokenizer_path
 
@@ -61,6 +60,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the package, and counted with it
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -78,7 +79,7 @@ def oracle() -> dict[str, str]:
             FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents) d
             JOIN t USING (slot)""",
         "op8_mixing_targets": r"""
-            WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+            WITH s AS (SELECT doc_id, source, md5(coalesce(text, '')) AS body, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
             g AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM s GROUP BY source),
             w AS (SELECT *, (sid % 3 + 1)::BIGINT AS weight FROM g),
             b AS (SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER lean, 0) AS left_size,
@@ -90,7 +91,7 @@ def oracle() -> dict[str, str]:
                     ELSE (weight * (sum(source_size) OVER () - 3 * sum(source_size * "full") OVER ()))::DOUBLE
                          / (sum(weight * (1 - "full")) OVER ())::DOUBLE END AS target FROM c),
             k AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS budget FROM t),
-            r AS (SELECT s.doc_id, s.size, k.source_size, k.target, k.budget, k.sid, md5('mix:' || s.doc_id::VARCHAR) AS hash,
+            r AS (SELECT s.doc_id, s.size, k.source_size, k.target, k.budget, k.sid, md5('mix:' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.body) AS hash,
                     CASE WHEN k.source_size = 0 THEN 0 ELSE k.budget // k.source_size END AS epochs
                   FROM s JOIN k ON s.source IS NOT DISTINCT FROM k.source)
             SELECT doc_id, size, source_size, target,

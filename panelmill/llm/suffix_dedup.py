@@ -367,7 +367,7 @@ def _finish(docs: list[tuple], occurs: np.ndarray, told: list[np.ndarray], lengt
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
                    carry: list[str] | None = None) -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text also text (what is left; bytes
-    that are no longer a whole character go) and the columns named in carry, as they are.
+    that are no longer a whole character go) and row, a struct of the columns named in carry as they are.
 
     A byte of a text's UTF-8 goes if a window of `length` bytes over it also starts in a row with a smaller
     doc_id. Windows are filed under the least hash of their 16-byte grams, as equal windows are equally. Texts first announce
@@ -378,12 +378,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     from the scan on, told apart by 128 bits of hash; the rows find their text's result by text and doc_id, so copies are spread.
 
     Of equal texts all but those with the least doc_id go whole, if they have `length` bytes. doc_id is an integer; a null one
-    is greater than all others. Null text is empty: with_text gives "" for it. Equal rows, and different texts of one doc_id, remove
-    nothing from each other. Names in carry may be any but those of the result. An empty table gives an empty result.
+    is greater than all others. Null text is empty, and stays null in text. Equal rows, and different texts of one doc_id, remove
+    nothing from each other. An empty table gives an empty result.
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    keep = carry or []
+    keep = carry or [id_col]
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashes = [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(length), text).alias("text_sum")]
@@ -442,12 +442,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     changed = flushes.mapInArrow(finish, "text_hash long, text_sum long, gone long, runs long, kept string, left string")
     first = lists.select(*key, F.col("first_id").alias("own")).join(changed, key, "left").withColumn("first", F.lit(True))
     rows = docs.select(*hashes, own, F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"),
-                       *[text.alias("text")] * with_text, F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)] or [F.lit(0)]).alias("carry"))
+                       *([F.col(text_col).alias("text"), F.struct(*keep).alias("row")] if with_text else []))
     rows = rows.join(first, [*key, "own"], "left")
     whole = F.col("first").isNull() & (F.col("n_bytes") >= length)  # a copy of a text with a smaller id
     out = [F.col("doc_id"), F.col("n_bytes"), F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
            F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
            F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256")]
     if with_text:
-        out += [F.when(whole, F.lit("")).otherwise(F.coalesce("left", "text")).alias("text"), *[F.col(f"carry.c{i}").alias(c) for i, c in enumerate(keep)]]
+        out += [F.when(whole, F.lit("")).otherwise(F.coalesce("left", "text")).alias("text"), "row"]
     return rows.select(*out)

@@ -36,7 +36,8 @@ def test_held_out_labels_teach_nothing(tables):
     docs, labels = tables
     other = labels.withColumn("quality", F.when(quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
     s = quality.Settings(epochs=1, sample_rows=60)
-    assert quality.training_rows(docs, labels, s) == quality.training_rows(docs, other, s)
+    plain = lambda pairs: [(ids.tolist(), share.tolist(), y) for (ids, share), y in pairs]
+    assert plain(quality.training_rows(docs, labels, s)) == plain(quality.training_rows(docs, other, s)) != []
     ids = {i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert {r.doc_id for r in docs.where(quality.held_out("doc_id")).collect()} == {r.doc_id for r in docs.collect()} & ids
 
@@ -44,7 +45,9 @@ def test_held_out_labels_teach_nothing(tables):
 def test_quality_of_odd_rows(spark, docs, rows, empty):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, None), (3, 0), (None, 1), (4, 7), (5, 1), (99999, 0), (7, 1), (7, 1)], "doc_id long, quality int")
     s = quality.Settings(epochs=2)
-    assert {t for t, _ in quality.training_rows(docs, labels, s)} <= {r[1] for r in rows if r[0] in (1, 3, 5, 7)}
+    found = [tuple(ids.tolist()) for (ids, _), _ in quality.training_rows(docs, labels, s)]
+    assert found and set(found) <= {tuple(quality.shares(r[1], s)[0].tolist()) for r in rows if r[0] in (1, 3, 5, 7)}
+    assert docs.where(quality.held_out("doc_id").isNull()).count() == 0
     odd = docs.withColumn("score", F.lit("mine")).withColumn("weight", F.lit(1))
     out = quality.classify(odd, labels, s)
     assert out.count() == len(rows) and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "weight", "score", "predicted"]
@@ -330,6 +333,23 @@ def test_chat_round_trip(turns):
     assert [(s.start, s.end) for s in spans] == list(zip([0, *[s.end for s in spans]], [s.end for s in spans]))
 
 
+@given(st.lists(pieces, max_size=6).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_no_control_string_is_left_in_escaped_text(text):
+    escaped = chat.escape(text)
+    assert chat.unescape(escaped) == text and not any(c in escaped for c in chat.CONTROL)
+
+
+def test_a_template_that_rewrites_history_spoils_its_conversation_only(spark):
+    df = spark.createDataFrame([(c, t, "user" if t % 2 else "assistant", f"text {t}") for c in (1, 2) for t in range(c * 2)], "conv_id long, turn long, role string, text string")
+
+    def template(turns):
+        return chat.render(turns if len(turns) < 3 else turns[1:])
+
+    got = {r.conv_id: r for r in chat.format_chats(df, with_output=True, template=template).collect()}
+    assert got[1].error is None and got[1].n_turns == 2 and got[2].error and got[2].n_turns is None and got[2].formatted is None
+
+
 def test_black_boxes():
     turns = [("user", "hello"), ("assistant", "hi"), ("user", "so")]
     with_tail = lambda ts: "BEGIN" + "".join(f"[{r}]{t};" for r, t in ts) + "END"

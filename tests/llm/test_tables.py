@@ -294,3 +294,63 @@ def test_pipeline(spark):
     assert all(n <= 3 * words[i] for i, n in counts.items()) and abs(sum(counts.values()) - sum(words.values())) <= len({r.source for r in cut.collect()})
     encoder = packing.Encoder(tokenizer_path())
     assert sum(r.length for r in packed.collect()) == sum(len(encoder.ids(r.text)) + 1 for r in mixed.collect())
+
+
+def test_stages_on_odd_rows(spark, rows, tmp_path):
+    """Nulls, repeated ids and rows, unlike texts of one id, no rows at all, and columns named as the stages name theirs."""
+    spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["score", "predicted", "own_hash", "kept_hash", "kept_id", "once", "number", "n_removed", "row", "left", "mix_hash", "mix_id", "taken", "whole", "cut", "part",
+             "size", "piece", "start", "length", "sequence_id", "offset", "text_hash", "node", "files"]
+    base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = base.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names], F.current_timestamp().alias("at"),
+                      F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    odd = common.settle(odd)
+    for given, many in ((odd, True), (odd.where("false"), False)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, str(tmp_path))
+            if name == "best_fit_packing":
+                assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+                assert out.count() >= given.count()
+                continue
+            assert out.columns == given.columns and out.dtypes == given.dtypes
+            got = out.collect()
+            assert bool(got) == many
+            for r in got:
+                assert all(getattr(r, n) == (None if r.doc_id is None else f"{n}:{r.doc_id}") for n in names) and r.m == {"k": r.doc_id}
+            if name == "suffix_array_dedup":
+                assert len(got) == given.count() and sum(r.text is None for r in got) == given.where("text is null").count()
+                assert {r.at for r in got} <= {r.at for r in given.select("at").distinct().collect()}
+            if name == "ngram_jaccard_join" and many:
+                from test_text_joins import shingle_sets
+
+                sets = shingle_sets(rows)
+                root = list(range(len(rows)))
+                for a in range(len(rows)):
+                    for b in range(a):
+                        if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                            x, y = root[a], root[b]
+                            root = [y if r == x else r for r in root]
+                assert len(got) == len(set(root))
+
+
+def test_equal_ids_and_rows_spread(spark):
+    """Half of the rows have no id and a third are one row; decisions stay whole."""
+    data = [(None, f"some words {i % 50} " * (1 + i % 7), "s") for i in range(300)] + [(4, "the very same row", "s")] * 200 + [(i, "a b c", "t") for i in range(10, 60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix_to_targets(df, bucket_rows=16).collect()
+    assert len(got) == len(data) and all(r.taken <= 3 * r.size for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.source_size, [r.target, 0])[1] += r.taken
+    assert all(abs(target - taken) <= 0.5 for target, taken in by.values())
+    assert sum(word_count(r.text) for r in mixing.take_mixture(df, bucket_rows=16).collect()) == sum(taken for _, taken in by.values())
+    packed = packing.pack_documents(df, tokenizer_path()).collect()
+    assert len(packed) == len(data) and len({(r.sequence_id, r.offset) for r in packed}) == len(data)
+
+
+@pytest.mark.parametrize("shape", ["hub at the top", "hub at the bottom", "two hubs"])
+def test_components_of_hubs(spark, shape):
+    edges = {"hub at the top": [(1000, i) for i in range(600)], "hub at the bottom": [(0, i) for i in range(1, 600)],
+             "two hubs": [(0, i) for i in range(2, 400)] + [(1, i) for i in range(399, 800)]}[shape]
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.root for r in got} == {0} and len(got) == len({x for e in edges for x in e})

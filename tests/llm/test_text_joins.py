@@ -174,7 +174,8 @@ def test_removal_equals_brute_force(docs, rows, small, monkeypatch):
 
 def test_removal_with_text_and_columns(docs, rows, empty):
     out = suffix_dedup.remove_repeats(docs.withColumn("files", F.lit("x")), with_text=True, carry=["lang", "source", "files"]).collect()
-    assert len(out) == len(rows) and all(r.files == "x" for r in out)
-    assert {(r.doc_id, r.source) for r in out} == {(r[0], r[3]) for r in rows}
-    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in out if r.n_removed == 0)
+    assert len(out) == len(rows) and all(r.row.files == "x" for r in out)
+    assert {(r.doc_id, r.row.source) for r in out} == {(r[0], r[3]) for r in rows}
+    assert sum(r.text is None for r in out) == sum(r[1] is None for r in rows)
+    assert all(hashlib.sha256((r.text or "").encode()).hexdigest() == r.kept_sha256 for r in out if r.n_removed == 0)
     assert suffix_dedup.remove_repeats(empty, with_text=True, carry=["lang"]).count() == 0
