@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,15 +102,10 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
+#: A text's distinct buckets and the share each has of its features.
 Features = tuple[np.ndarray, np.ndarray]
 
 
-def shares(text: str | None, s: Settings) -> Features:
-    """The text's buckets and the share each has of its features."""
-    ids, n = featurize(text, s)
-    return ids.astype(np.int32), (n / n.sum() if len(n) else n).astype(np.float32)
-
-
 def fit(docs: list[Features], labels: list[int], s: Settings = Settings()) -> Model:
     """Stochastic gradient descent, one document a step, the rate falling to zero. No rows: a constant 0.5."""
     rng = np.random.default_rng(s.seed)
@@ -158,13 +154,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shares(t.as_py(), s) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x, _ in found], pa.binary()),
-                                              pa.array([x.tobytes() for _, x in found], pa.binary())], names=["id", "y", "buckets", "shares"])
+            found = [featurize(t.as_py(), s) for t in b.column(2)]
+            packed = [zstandard.compress(np.concatenate([np.diff(ids, prepend=0), n]).astype("<i4").tobytes()) for ids, n in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["id", "y", "packed"])
+
+    def unpack(packed: bytes) -> Features:
+        ids, n = np.frombuffer(zstandard.decompress(packed), "<i4").reshape(2, -1)
+        return np.cumsum(ids).astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(count, f"id {kind}, y int, buckets binary, shares binary").collect()
-    return [((np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)), r.y) for r in sorted(found, key=lambda r: r.id)]
+    found = rows.mapInArrow(count, f"id {kind}, y int, packed binary").collect()
+    return [(unpack(r.packed), r.y) for r in sorted(found, key=lambda r: r.id)]
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

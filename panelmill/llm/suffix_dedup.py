@@ -389,12 +389,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     hashes = [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(length), text).alias("text_sum")]
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("own")
     known, key = docs.select(*hashes, own), ["text_hash", "text_sum"]
-    firsts = known.groupBy(*key).agg(F.min("own").alias("first_id"))
+    firsts = settle(known.groupBy(*key).agg(F.min("own").alias("first_id")))
     lists = shared_files(docs.select(hashes[0], text.cast("binary").alias("data")), length).withColumnRenamed("owner", "text_hash")
-    lists = settle(firsts.join(lists, "text_hash", "left"))
+    lists = settle(firsts.join(lists, "text_hash"))
     # one row per text from the scan on: copies don't travel
     texts = docs.select(*hashes, text.cast("binary").alias("data")).groupBy(*key).agg(F.any_value("data").alias("data"))
-    joined = texts.join(lists.where("files is not null"), key).select(*key, "first_id", "data", "files").sortWithinPartitions(*key)
+    joined = texts.join(lists, key).select(*key, "first_id", "data", "files").sortWithinPartitions(*key)
     buckets = scatter_width(spark, docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,12 +435,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         if texts is not None:
             yield out()
 
-    # written, so that the texts' shuffle goes before the next; only contents are dealt by bucket
-    sent = settle(joined.mapInArrow(send, _SENT_SQL))
+    # each step is written, so that its shuffles go before the next, and replaces the step before
+    sent = settle(joined.mapInArrow(send, _SENT_SQL), lists)
     told = sent.where("kind = 0").repartitionById(buckets, F.col("bucket")).mapInArrow(meet, _SENT_SQL)
     flushes = told.unionByName(sent.where("kind = 1")).select("bucket", "flush", "kind", "payload").repartition(buckets, "flush").sortWithinPartitions("flush", "kind")
-    changed = flushes.mapInArrow(finish, "text_hash long, text_sum long, gone long, runs long, kept string, left string")
-    first = lists.select(*key, F.col("first_id").alias("own")).join(changed, key, "left").withColumn("first", F.lit(True))
+    changed = settle(flushes.mapInArrow(finish, "text_hash long, text_sum long, gone long, runs long, kept string, left string"), sent)
+    first = firsts.select(*key, F.col("first_id").alias("own")).join(changed, key, "left").withColumn("first", F.lit(True))
     rows = docs.select(*hashes, own, F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"),
                        *([F.col(text_col).alias("text"), F.struct(*keep).alias("row")] if with_text else []))
     rows = rows.join(first, [*key, "own"], "left")

@@ -46,7 +46,7 @@ def test_quality_of_odd_rows(spark, docs, rows, empty):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, None), (3, 0), (None, 1), (4, 7), (5, 1), (99999, 0), (7, 1), (7, 1)], "doc_id long, quality int")
     s = quality.Settings(epochs=2)
     found = [tuple(ids.tolist()) for (ids, _), _ in quality.training_rows(docs, labels, s)]
-    assert found and set(found) <= {tuple(quality.shares(r[1], s)[0].tolist()) for r in rows if r[0] in (1, 3, 5, 7)}
+    assert found and set(found) <= {tuple(quality.featurize(r[1], s)[0].tolist()) for r in rows if r[0] in (1, 3, 5, 7)}
     assert docs.where(quality.held_out("doc_id").isNull()).count() == 0
     odd = docs.withColumn("score", F.lit("mine")).withColumn("weight", F.lit(1))
     out = quality.classify(odd, labels, s)
