@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.operators.quality import robust_scores
+from panelmill.sources.files import cached, work_dir
 from panelmill.sources.panel import Panel
 
 INPUTS = ["utilisation", "kwh_per_hour", "hours_per_point", "hour_of_day", "is_weekend"]
@@ -43,7 +44,7 @@ def path_length(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest_scores(panel: Panel, trees: int = 50, per_tree: int = 256, contamination: float = 0.005, seed: int = 7) -> DataFrame:
+def forest_scores(panel: Panel, trees: int = 200, per_tree: int = 256, contamination: float = 0.005, seed: int = 7) -> DataFrame:
     """forest_score (higher: odder) and forest_flag. The trees grow on trees * per_tree sampled rows, the bound of what reaches the driver; all rows are scored."""
     rows = forest_inputs(panel).select("zone_id", "ts", *[F.col(c).cast("double").alias(c) for c in INPUTS])
     sample = rows.orderBy(F.xxhash64("zone_id", "ts", F.lit(seed))).limit(trees * per_tree).select(*INPUTS).toPandas().to_numpy(float)
@@ -56,8 +57,9 @@ def forest_scores(panel: Panel, trees: int = 50, per_tree: int = 256, contaminat
         x = np.column_stack([c.to_numpy(float) for c in columns])
         return pd.Series(2.0 ** (-np.mean([path_length(t, x) for t in forest], axis=0) / scale))
 
-    scored = rows.withColumn("forest_score", score(*INPUTS))
-    threshold = scored.agg(F.percentile("forest_score", 1 - contamination).alias("threshold"))
+    # written once: the threshold and the result read the scores. The quantile is off by one row in a million at most
+    scored = cached(rows.withColumn("forest_score", score(*INPUTS)), work_dir(panel.observations.sparkSession, "forest"))
+    threshold = scored.agg(F.percentile_approx("forest_score", 1 - contamination, 1_000_000).alias("threshold"))
     return scored.crossJoin(F.broadcast(threshold)).withColumn("forest_flag", F.col("forest_score") > F.col("threshold")).drop("threshold", *INPUTS)
 
 
@@ -68,15 +70,19 @@ def agreement(flags: DataFrame, a: str, b: str) -> DataFrame:
                      F.coalesce(both / F.nullif(either, F.lit(0)), F.lit(0.0)).alias("jaccard"))
 
 
+def labelled(joined: DataFrame, a: str, b: str, name_a: str, name_b: str) -> DataFrame:
+    """Which of two flags of a row is set."""
+    label = F.when(F.col(a) & F.col(b), "both").when(F.col(a), f"{name_a}_only").when(F.col(b), f"{name_b}_only").otherwise("neither")
+    return joined.withColumn("label", label)
+
+
 def flagged(panel: Panel) -> DataFrame:
     """Both flags of every row and which of them is set."""
     robust = robust_scores(panel.observations, "volume").select("zone_id", "ts", "robust_score", "robust_flag")
-    joined = robust.join(forest_scores(panel), ["zone_id", "ts"])
-    label = F.when(F.expr("robust_flag and forest_flag"), "both").when(F.col("robust_flag"), "robust_only").when(F.col("forest_flag"), "forest_only").otherwise("neither")
-    return joined.withColumn("label", label)
+    return labelled(robust.join(forest_scores(panel), ["zone_id", "ts"]), "robust_flag", "forest_flag", "robust", "forest")
 
 
 def sample_per_group(df: DataFrame, group: str, keys: list[str], n: int, seed: int) -> DataFrame:
-    """n reproducible rows of each group, by hashed key."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    """n reproducible rows of each group, in the order of a hash of their keys."""
+    order = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys)
     return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")

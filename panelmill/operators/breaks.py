@@ -47,22 +47,29 @@ def default_penalty(values: np.ndarray) -> float:
 
 
 def pruned_partition(values: np.ndarray, penalty: float, min_segment: int) -> list[int]:
-    """Starts of the segments after the first, by dynamic programming over candidates that stay within the penalty of the best."""
+    """Starts of the segments after the first, by optimal partitioning with pruning (PELT).
+
+    F(t) is the least cost of the first t values, each segment paying its squared error and the penalty: the least over s of
+    F(s) + C(s, t) + penalty. As splitting a stretch never costs more, C(s, t) + C(t, u) <= C(s, u), a start s with
+    F(s) + C(s, t) > F(t) can't begin the last segment of any u that t can end before, and is dropped from t + min_segment on.
+    """
     n, cost = len(values), SegmentCost(values)
-    best, origin = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-    best[0], alive = -penalty, np.array([0])
-    for end in range(min_segment, n + 1):
-        legal = end - alive >= min_segment
-        score = np.where(legal, best[alive] + cost(alive, end) + penalty, np.inf)
-        winner = int(np.argmin(score))
-        best[end], origin[end] = score[winner], alive[winner]
-        alive = alive[~legal | (score <= best[end] + penalty)]
-        if (fresh := end - min_segment + 1) > 0:
-            alive = np.union1d(alive, [fresh])
-    cuts, at = [], n
-    while at > 0 and np.isfinite(best[at]) and origin[at] > 0:
-        at = int(origin[at])
-        cuts.append(at)
+    total, last = {0: 0.0}, {}
+    starts, until = [0], {}
+    for t in range(min_segment, n + 1):
+        starts = [k for k in starts if until.get(k, n) >= t]
+        s = np.array(starts)
+        whole = np.array([total[k] for k in starts]) + cost(s, t)
+        total[t], last[t] = float(whole.min()) + penalty, int(s[whole.argmin()])
+        for k, w in zip(starts, whole.tolist()):
+            if w > total[t]:
+                until.setdefault(k, t + min_segment - 1)
+        if t - min_segment + 1 in total:  # long enough to be followed by t + 1's last segment
+            starts.append(t - min_segment + 1)
+    cuts, t = [], n
+    while last.get(t, 0) > 0:
+        t = last[t]
+        cuts.append(t)
     return cuts[::-1]
 
 
@@ -98,7 +105,7 @@ def block_pvalue(values: np.ndarray, min_segment: int, block: int, draws: int, l
     return (sum(best_split(row, min_segment)[1] >= gain for row in samples) + 1) / (draws + 1)
 
 
-def detect(series: DataFrame, min_segment: int = 3, block: int = 5, draws: int = 200, seed: int = 20250901) -> DataFrame:
+def detect(series: DataFrame, min_segment: int = 3, block: int = 5, draws: int = 500, seed: int = 20250901) -> DataFrame:
     """(series, method, position, obs_date, mean_before, mean_after, p_value) of the breaks of both methods. A series is one value a day, so one task holds it."""
     def find(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("position")
@@ -126,3 +133,23 @@ def stable_period(breaks: DataFrame, first: int, last: int) -> DataFrame:
     edges = breaks.select("position").union(breaks.sparkSession.createDataFrame([(first,), (last,)], "position int")).distinct()
     nxt = F.lead("position").over(Window.orderBy("position"))  # one row per break
     return edges.select(F.col("position").alias("start"), nxt.alias("end")).where("end is not null").withColumn("length", F.expr("end - start")).orderBy(F.desc("length"), "start").limit(1)
+
+
+def windows_around(breaks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(series, position, start, end): the window between the breaks on either side of each break; sizes: (series, n)."""
+    order = Window.partitionBy("series").orderBy("position")
+    edges = breaks.select("series", "position").distinct().join(sizes, "series")
+    return edges.select("series", "position", F.coalesce(F.lag("position").over(order), F.lit(0)).alias("start"), F.coalesce(F.lead("position").over(order), F.col("n")).alias("end"))
+
+
+def segment_means(series: DataFrame, breaks: DataFrame) -> DataFrame:
+    """(series, start, end, mean) of the segments that the breaks cut a series (series, position, adjusted) into."""
+    marked = series.join(breaks.select("series", "position", F.lit(1).alias("cut")).distinct(), ["series", "position"], "left")
+    number = F.sum(F.coalesce("cut", F.lit(0))).over(Window.partitionBy("series").orderBy("position"))
+    return marked.withColumn("segment", number).groupBy("series", "segment").agg(
+        F.min("position").alias("start"), (F.max("position") + 1).alias("end"), F.avg("adjusted").alias("mean")).drop("segment")
+
+
+def monitoring_window(breaks: DataFrame, n: int) -> DataFrame:
+    """The longest stretch of one series without a break, and the break that follows it (null if the series ends there)."""
+    return stable_period(breaks, 0, n).withColumn("next_break", F.when(F.col("end") < n, F.col("end")))

@@ -71,7 +71,19 @@ def summary_rows(panel: Panel) -> DataFrame:
     facts = panel.observations.agg(
         F.count("*").alias("fact_rows"), F.count_distinct("zone_id").alias("zones"), F.count_distinct("ts").alias("hours"), F.sum("volume").alias("total_volume"),
         F.sum("volume_11kw").alias("total_volume_11kw"), F.sum("duration").alias("point_hours"), F.avg("utilisation").alias("mean_utilisation"),
-        F.count_if(F.col("utilisation") >= CEILING).alias("saturated_hours"), (F.sum("volume") / F.nullif(F.sum("volume_11kw"), F.lit(0.0))).alias("estimate_ratio"))
+        F.count_if(F.col("utilisation") >= CEILING).alias("saturated_hours"),
+        F.count_distinct(F.when(F.col("utilisation") >= CEILING, F.col("zone_id"))).alias("saturated_zones"), (F.sum("volume") / F.nullif(F.sum("volume_11kw"), F.lit(0.0))).alias("estimate_ratio"))
     zones = panel.zones.agg(F.sum("n_stations").alias("stations"), F.sum("capacity_points").alias("points"))
     row = facts.crossJoin(zones)  # one row each
     return row.select(*[F.col(c).cast("double").alias(c) for c in row.columns]).unpivot([], row.columns, "metric", "value")
+
+
+#: What the measures are (fixed texts).
+MEANING = {"occupancy": "points in use", "volume": "energy by rated power, kWh", "volume_11kw": "energy by 11 kW, kWh", "duration": "point hours", "utilisation": "points in use by points"}
+
+
+def dictionary(panel: Panel) -> DataFrame:
+    """(measure, meaning, observed): the data dictionary, with what was measured as text."""
+    meaning = F.element_at(F.create_map(*[F.lit(x) for pair in MEANING.items() for x in pair]), F.col("measure"))
+    shown = F.format_string("%.6f to %.6f, mean %.6f", *[F.round(c, 6) for c in ("min", "max", "mean")])
+    return measured_summary(panel, tuple(MEANING)).select("measure", meaning.alias("meaning"), shown.alias("observed"))

@@ -9,6 +9,26 @@ from panelmill.operators import graph
 from panelmill.settings import LAGS, NEIGHBOUR_LAGS, WINDOWS
 from panelmill.sources.panel import Panel, hour_table, with_calendar
 
+#: Names of the features by block: at the origin, shared by all zones, of the target's hour, of the zone.
+ORIGIN = [*[f"lag_{k}" for k in LAGS], "roll_mean_24", "roll_std_24", "roll_mean_168", "roll_std_168", "roll_max_24", "roll_min_24", "diff_1", "diff_24",
+          *[f"neighbour_mean_{k}" for k in NEIGHBOUR_LAGS], "e_price_0", "e_price_roll_24", "s_price_0", "s_price_roll_24"]
+SHARED = ["air_temp_c", "humidity_pct", "rain_category", "dewpoint_c", "air_temp_roll_24"]
+CALENDAR = ["at_hour_sin", "at_hour_cos", "at_dow_sin", "at_dow_cos", "at_hour_of_day", "at_is_weekend", "at_is_holiday", "at_trend"]
+STATIC = ["capacity_points", "n_stations", "log_area", "points_density", "station_density", "shape_index", "centroid_lon", "centroid_lat", "n_neighbours"]
+
+
+def feature_names(static: bool = True) -> list[str]:
+    """The features of a design matrix; models of one zone leave the static ones out."""
+    return ORIGIN + SHARED + CALENDAR + (STATIC if static else [])
+
+
+def usable_columns(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, usable): columns that vary and are nowhere null or not finite, from one pass; all of them if none is."""
+    bad = lambda c: F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")))
+    fine = lambda c: (bad(c) == 0) & (F.stddev_pop(F.col(c).cast("double")) > 1e-12)
+    row = rows.agg(*[F.coalesce(fine(c), F.lit(False)).alias(c) for c in names])
+    none = ~F.greatest(*[F.col(c) for c in names]) if len(names) > 1 else ~F.col(names[0])
+    return row.select(*[(F.col(c) | none).alias(c) for c in names]).unpivot([], names, "feature", "usable")
 
 
 def by_zone() -> WindowSpec:
@@ -55,9 +75,9 @@ def build_features(panel: Panel, target: str) -> DataFrame:
         "diff_1": F.col(target) - back(target, 1), "diff_24": F.col(target) - back(target, 24), "e_price_0": F.col("e_price"), "s_price_0": F.col("s_price"),
         "e_price_roll_24": trailing("e_price", 24, "mean"), "s_price_roll_24": trailing("s_price", 24, "mean")})
     alone = Window.orderBy("hour_idx")  # one row per hour of the window, a bounded dimension
-    sky = panel.weather.where("station = 'central'").select("hour_idx", "air_temp_c").withColumn("air_temp_roll_24", trailing("air_temp_c", 24, "mean", alone))
-    static = panel.zones.select("zone_id", "n_stations", "n_neighbours")
-    return made.join(F.broadcast(sky), "hour_idx", "left").join(F.broadcast(static), "zone_id", "left")
+    sky = panel.weather.where("station = 'central'").select("hour_idx", *SHARED[:4]).withColumn("air_temp_roll_24", trailing("air_temp_c", 24, "mean", alone))
+    static = panel.zones.withColumn("log_area", F.log1p("area_m2")).select("zone_id", *[c for c in STATIC if c != "capacity_points"])
+    return made.join(sky, "hour_idx", "left").join(static, "zone_id", "left")
 
 
 def design(features: DataFrame, panel: Panel, target: str, horizon: int) -> DataFrame:

@@ -11,6 +11,7 @@ from panelmill.sources.panel import Panel
 
 # Fixed value: a saturated hour weighs 1 + 3 times an idle one.
 SATURATION_WEIGHT = 3.0
+BASELINES = ("last_observation", "seasonal_daily", "seasonal_weekly")
 
 
 def make_folds(settings: Settings = DEFAULT) -> list[tuple[int, int, int]]:
@@ -38,7 +39,7 @@ def baselines(panel: Panel, target: str, horizon: int) -> DataFrame:
     settings = panel.settings
     if not 0 < horizon <= 24:
         raise ValueError("a seasonal baseline needs a horizon of 1 to 24 hours")
-    families = {"last_observation": horizon, "seasonal_daily": 24, "seasonal_weekly": 168}
+    families = dict(zip(BASELINES, (horizon, 24, 168)))
     known = panel.observations.withColumns({name: back(target, k) for name, k in families.items()})
     folds = fold_table(known.sparkSession, settings)
     inside = (F.col("hour_idx") >= F.col("test_start")) & (F.col("hour_idx") < F.col("test_end"))

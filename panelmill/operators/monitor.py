@@ -13,39 +13,68 @@ SLACK = 0.5
 EWMA_WEIGHT = 0.1
 
 
-def bin_edges(reference: DataFrame, column: str, bins: int) -> list[float]:
-    """Interior quantile edges of the reference, without repeats: at most bins - 1 numbers."""
-    shares = [k / bins for k in range(1, bins)]
-    return sorted(set(reference.agg(F.percentile(column, shares).alias("q")).first()["q"] or []))
+#: Inputs that are watched: calendar and zone attributes can't drift. Bins of the two statistics.
+MONITORED = ("lag_0", "lag_24", "roll_mean_24", "roll_mean_168", "roll_std_24", "diff_24", "neighbour_mean_0", "e_price_0", "s_price_0")
+PSI_BINS, KS_BINS = 10, 50
+
+
+def mask(inside: tuple[int, int], without: tuple[int, int] | None = None) -> F.Column:
+    """Hours of a window, both ends included, less those of another."""
+    own = F.col("hour_idx").between(*inside)
+    return own & ~F.col("hour_idx").between(*without) if without else own
+
+
+def bin_edges(reference: DataFrame, bins: int) -> DataFrame:
+    """(feature, edges): interior quantile edges of a long reference (feature, value), without repeats and inside the range; bins - 1 numbers at most."""
+    shares = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    q = reference.where(F.col("value").isNotNull()).groupBy("feature").agg(
+        F.percentile("value", shares).alias("q"), F.min("value").alias("low"), F.max("value").alias("high"))
+    inside = F.filter(F.array_distinct(F.transform("q", lambda e: F.round(e, 9))), lambda e: (e > F.col("low")) & (e < F.col("high")))
+    return q.select("feature", F.array_sort(inside).alias("edges"))
+
+
+def place(value: str, edges: str) -> F.Column:
+    """Number of the left-closed bin: how many edges aren't above the value."""
+    return F.size(F.filter(edges, lambda e: e <= F.col(value)))
+
+
+def drift(long: DataFrame, reference_hours: int, width: int, bins: int) -> DataFrame:
+    """(feature, hour_idx, psi, ks) of a trailing window against the first hours, of a long table (feature, hour_idx, value).
+
+    Values are counted per feature, hour and bin on a dense table of hours and bins, and summed over the window. Values and edges meet at
+    nine digits, so that an edge that interpolation puts beside a value doesn't part them.
+    """
+    long = long.withColumn("value", F.round("value", 9))
+    reference = long.where(F.col("hour_idx") < reference_hours)
+    edges = bin_edges(reference, bins)
+    counted = long.where(F.col("value").isNotNull()).join(edges, "feature").groupBy("feature", "hour_idx", place("value", "edges").alias("bin")).agg(F.count("*").alias("n"))
+    grid = long.select("hour_idx").distinct().crossJoin(F.broadcast(edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))))  # hours times bins
+    dense = grid.join(counted, ["feature", "hour_idx", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    expected = dense.where(F.col("hour_idx") < reference_hours).groupBy("feature", "bin").agg(F.sum("n").alias("n")).select(
+        "feature", "bin", (F.col("n") / F.greatest(F.sum("n").over(Window.partitionBy("feature")), F.lit(1))).alias("expected"))
+    frame = Window.partitionBy("feature", "bin").orderBy("hour_idx").rowsBetween(-(width - 1), 0)
+    summed = dense.select("feature", "hour_idx", "bin", F.sum("n").over(frame).alias("n"), F.count("*").over(frame).alias("full")).where(F.col("full") == width)
+    share = F.col("n") / F.greatest(F.sum("n").over(Window.partitionBy("feature", "hour_idx")), F.lit(1))
+    joined = summed.withColumn("share", share).join(expected, ["feature", "bin"])
+    a, e = F.greatest("share", F.lit(SHARE_FLOOR)), F.greatest("expected", F.lit(SHARE_FLOOR))
+    running = Window.partitionBy("feature", "hour_idx").orderBy("bin")
+    gaps = joined.withColumns({"term": (a - e) * F.ln(a / e), "gap": F.abs(F.sum("share").over(running) - F.sum("expected").over(running))})
+    return gaps.groupBy("feature", "hour_idx").agg(F.sum("term").alias("psi"), F.max("gap").alias("ks"))
 
 
-def window_shares(observations: DataFrame, column: str, edges: list[float], width: int) -> DataFrame:
-    """(hour_idx, bin, share): left-closed bins, counted per hour on a dense hour-by-bin table and summed over the trailing window."""
-    place = sum((F.col(column) >= e).cast("int") for e in edges) if edges else F.lit(0)
-    counted = observations.where(F.col(column).isNotNull()).groupBy("hour_idx", place.alias("bin")).agg(F.count("*").alias("n"))
-    hours = observations.select("hour_idx").distinct()
-    dense = hours.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(edges))))).join(counted, ["hour_idx", "bin"], "left").fillna(0, ["n"])
-    frame = Window.partitionBy("bin").orderBy("hour_idx").rowsBetween(-(width - 1), 0)
-    summed = dense.select("hour_idx", "bin", F.sum("n").over(frame).alias("n"), F.count("*").over(frame).alias("full")).where(F.col("full") == width)
-    return summed.select("hour_idx", "bin", (F.col("n") / F.nullif(F.sum("n").over(Window.partitionBy("hour_idx")), F.lit(0))).alias("share"))
+def input_monitor(panel: Panel, column: str, bins: int, reference_hours: int, width: int) -> DataFrame:
+    """(hour_idx, psi, ks) of one measure."""
+    long = panel.observations.select(F.lit(column).alias("feature"), "hour_idx", F.col(column).alias("value"))
+    return drift(long, reference_hours, width, bins).select("hour_idx", "psi", "ks")
 
 
-def reference_shares(reference: DataFrame, column: str, edges: list[float]) -> DataFrame:
-    place = sum((F.col(column) >= e).cast("int") for e in edges) if edges else F.lit(0)
-    counted = reference.where(F.col(column).isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
-    return counted.select("bin", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("expected"))
+def input_monitors(panel: Panel, target: str, reference_hours: int, width: int, features: tuple[str, ...] = MONITORED) -> DataFrame:
+    """(hour_idx, input_psi, input_ks): the mean PSI of the watched features and their largest KS, each over its own bins."""
+    from panelmill.operators.features import build_features
 
-
-def input_monitor(panel: Panel, column: str, bins: int, reference_hours: int, width: int) -> DataFrame:
-    """(hour_idx, psi, ks) of a trailing window against the first `reference_hours`."""
-    facts = panel.observations.select("hour_idx", column)
-    reference = facts.where(F.col("hour_idx") < reference_hours)
-    edges = bin_edges(reference, column, bins)
-    joined = window_shares(facts, column, edges, width).join(F.broadcast(reference_shares(reference, column, edges)), "bin", "left").fillna(0.0, ["expected"])
-    a, e = F.greatest("share", F.lit(SHARE_FLOOR)), F.greatest("expected", F.lit(SHARE_FLOOR))
-    running = Window.partitionBy("hour_idx").orderBy("bin")
-    gaps = joined.withColumns({"term": (a - e) * F.ln(a / e), "gap": F.abs(F.sum("share").over(running) - F.sum("expected").over(running))})
-    return gaps.groupBy("hour_idx").agg(F.sum("term").alias("psi"), F.max("gap").alias("ks"))
+    long = build_features(panel, target).select("hour_idx", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["hour_idx"], list(features), "feature", "value")
+    psi = drift(long, reference_hours, width, PSI_BINS).groupBy("hour_idx").agg(F.avg("psi").alias("input_psi"))
+    return psi.join(drift(long, reference_hours, width, KS_BINS).groupBy("hour_idx").agg(F.max("ks").alias("input_ks")), "hour_idx")
 
 
 def residuals(panel: Panel, target: str) -> DataFrame:
@@ -74,30 +103,58 @@ def cusum(series: DataFrame, reference: int, width: int) -> DataFrame:
     return windowed.select("hour_idx", F.when(F.size("zs") == width, F.expr(walk)).alias("cusum"))
 
 
-def ewma(series: DataFrame, reference: int) -> DataFrame:
-    """|state| of the weighted mean of z, from 0. The fold over one city series, one value an hour, is sequential."""
+def ewma(series: DataFrame, reference: int, width: int = 1) -> DataFrame:
+    """|state| of the weighted mean of z, from 0, null before `width` hours. The fold over one city series, one value an hour, is sequential."""
     rows = _centred(series, "mean_absolute", reference).agg(F.sort_array(F.collect_list(F.struct("hour_idx", "z"))).alias("rows"))
     states = f"""aggregate(rows, named_struct('s', 0D, 'out', cast(array() as array<struct<hour_idx:int,ewma:double>>)),
         (a, r) -> named_struct('s', (1 - {EWMA_WEIGHT}D) * a.s + {EWMA_WEIGHT}D * r.z,
           'out', concat(a.out, array(named_struct('hour_idx', r.hour_idx, 'ewma', abs((1 - {EWMA_WEIGHT}D) * a.s + {EWMA_WEIGHT}D * r.z)))))).out"""
-    return rows.select(F.inline(F.expr(states)))
-
-
-def calibrate(statistic: DataFrame, column: str, rates: tuple[float, ...], stable_end: int) -> DataFrame:
-    """(far, threshold, achieved): the exact quantile 1 - far / 1000 of the stable hours; alarms are strictly above."""
-    stable = statistic.where((F.col("hour_idx") < stable_end) & F.col(column).isNotNull())
-    row = stable.agg(F.percentile(column, [1 - r / 1000 for r in rates]).alias("q"), F.collect_list(column).alias("xs"))
-    pairs = row.select("xs", F.posexplode("q").alias("k", "threshold"))
-    far = F.element_at(F.array(*[F.lit(float(r)) for r in rates]), F.col("k") + 1)
-    above = F.size(F.filter("xs", lambda x: x > F.col("threshold")))
-    return pairs.select(far.alias("far"), "threshold", (above * 1000.0 / F.size("xs")).alias("achieved"))
-
-
-def detections(statistic: DataFrame, column: str, thresholds: DataFrame, event_hour: int) -> DataFrame:
-    """Delay of the first alarm at or after the event, -1 where there's none. Thresholds are one row per rate."""
-    alarmed = F.min(F.when((F.col(column) > F.col("threshold")) & (F.col("hour_idx") >= event_hour), F.col("hour_idx")))
-    return (statistic.crossJoin(F.broadcast(thresholds)).groupBy("far", "threshold", "achieved")
-            .agg(alarmed.alias("alarm")).select("far", "threshold", "achieved", F.coalesce(F.col("alarm") - event_hour, F.lit(-1)).alias("delay")))
+    out = rows.select(F.inline(F.expr(states)))
+    return out.withColumn("ewma", F.when(F.row_number().over(Window.orderBy("hour_idx")) >= width, F.col("ewma")))  # one row per hour
+
+
+def monitors(inputs: DataFrame, residual: DataFrame, reference: int, width: int) -> DataFrame:
+    """(monitor, kind, hour_idx, value) of the two input and the two residual statistics."""
+    long = inputs.unpivot(["hour_idx"], [c for c in inputs.columns if c != "hour_idx"], "monitor", "value").withColumn("kind", F.lit("input"))
+    two = {"residual_mean_cusum": cusum(residual, reference, width).withColumnRenamed("cusum", "value"), "residual_abs_ewma": ewma(residual, reference, width).withColumnRenamed("ewma", "value")}
+    for name, df in two.items():
+        long = long.unionByName(df.select("hour_idx", F.lit(name).alias("monitor"), "value", F.lit("residual").alias("kind")))
+    return long.select("monitor", "kind", "hour_idx", "value")
+
+
+def calibrate(statistics: DataFrame, rates: tuple[float, ...], stable: F.Column) -> DataFrame:
+    """(monitor, kind, far, threshold, achieved, n_stable, n_false): for each rate of false alarms per 1000 hours the exact quantile of the
+    stable hours; alarms are strictly above."""
+    calm = statistics.where(stable & F.col("value").isNotNull())
+    far = F.array(*[F.lit(float(r)) for r in rates])
+    q = calm.groupBy("monitor", "kind").agg(F.percentile("value", [1 - r / 1000 for r in rates]).alias("q"), F.count("*").alias("n_stable"))
+    thresholds = q.select("monitor", "kind", "n_stable", F.posexplode("q").alias("k", "threshold")).withColumn("far", F.element_at(far, F.col("k") + 1))
+    above = calm.select("monitor", "value").join(F.broadcast(thresholds.select("monitor", "far", "threshold")), "monitor").groupBy("monitor", "far").agg(
+        F.count_if(F.col("value") > F.col("threshold")).alias("n_false"))
+    return thresholds.join(above, ["monitor", "far"]).select("monitor", "kind", "far", "threshold", (F.col("n_false") * 1000.0 / F.col("n_stable")).alias("achieved"), "n_stable", "n_false")
+
+
+def first_alert(statistics: DataFrame, thresholds: DataFrame, event_hour: int) -> DataFrame:
+    """(monitor, far, alarm): the first hour at or after the event strictly above the threshold; null if none is."""
+    joined = statistics.where((F.col("hour_idx") >= event_hour) & F.col("value").isNotNull()).select("monitor", "hour_idx", "value").join(
+        F.broadcast(thresholds.select("monitor", "far", "threshold")), "monitor")
+    return joined.groupBy("monitor", "far").agg(F.min(F.when(F.col("value") > F.col("threshold"), F.col("hour_idx"))).alias("alarm"))
+
+
+def detections(statistics: DataFrame, rates: tuple[float, ...], stable: F.Column, event_hour: int) -> DataFrame:
+    """The calibration of every monitor at every rate, with detected and delay (hours from the event to the first alarm, -1 where there's none)."""
+    known = calibrate(statistics, rates, stable)
+    found = known.join(first_alert(statistics, known, event_hour), ["monitor", "far"], "left")
+    return found.withColumns({"detected": F.col("alarm").isNotNull(), "delay": F.coalesce(F.col("alarm") - event_hour, F.lit(-1))}).drop("alarm")
+
+
+def best_monitors(detection: DataFrame) -> DataFrame:
+    """For each rate the first monitor of each side to alert; a side that never does has an infinite delay and the monitor "none"."""
+    side = lambda kind: F.min(F.when(F.col("detected") & (F.col("kind") == kind), F.struct("delay", "monitor")))
+    best = detection.groupBy("far").agg(side("input").alias("i"), side("residual").alias("r"))
+    delay = lambda c: F.coalesce(F.col(f"{c}.delay").cast("double"), F.lit(float("inf")))
+    return best.select("far", F.coalesce("i.monitor", F.lit("none")).alias("input_monitor"), delay("i").alias("input_delay"),
+                       F.coalesce("r.monitor", F.lit("none")).alias("residual_monitor"), delay("r").alias("residual_delay"), (delay("i") > delay("r")).alias("input_later"))
 
 
 def trigger_schedule(alarms: DataFrame, cooldown: int) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.functions.seeds import rng
 from panelmill.sources.panel import Panel
 
+CANDIDATES = list(range(2, 11))
+
 SLOTS = [f"{kind}_{h:02d}" for kind in ("weekday", "weekend") for h in range(24)]
 
 
@@ -48,39 +50,86 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(np.mean(scores))
 
 
-def cluster(shapes: DataFrame, k: int, restarts: int = 3, seed: int = 7) -> DataFrame:
-    """(zone_id, segment) of the restart with the least cost."""
-    vectors = VectorAssembler(inputCols=SLOTS, outputCol="features").transform(shapes)
-    fits = [KMeans(k=k, seed=seed + r, maxIter=50).fit(vectors) for r in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(vectors).select("zone_id", F.col("prediction").alias("segment"))
-
-
-def diagnostics(shapes: DataFrame, ks: range = range(2, 5), restarts: int = 3, seed: int = 7) -> DataFrame:
-    """(k, inertia, silhouette, calinski_harabasz, stability, largest_share); the fits run on Spark, the measures on one row per zone."""
-    vectors = VectorAssembler(inputCols=SLOTS, outputCol="features").transform(shapes).select("zone_id", "features", *SLOTS)
-    table = shapes.orderBy("zone_id").toPandas()
-    x, rows = table[SLOTS].to_numpy(float), []
-    for k in ks:
-        fits = [KMeans(k=k, seed=seed + r, maxIter=50).fit(vectors) for r in range(restarts)]
-        labels = [m.transform(vectors).select("zone_id", "prediction").orderBy("zone_id").toPandas()["prediction"].to_numpy() for m in fits]
-        best = int(np.argmin([m.summary.trainingCost for m in fits]))
-        inertia, own = float(fits[best].summary.trainingCost), labels[best]
+def nearest_means(x: np.ndarray, k: int, source: np.random.Generator, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Labels and inertia of Lloyd's iteration from centres drawn by squared distance; a centre that loses its rows moves to the farthest row."""
+    centres = x[[int(source.integers(len(x)))]]
+    for _ in range(k - 1):
+        d = ((x[:, None] - centres[None]) ** 2).sum(-1).min(1)
+        pick = source.choice(len(x), p=d / d.sum()) if d.sum() > 0 else source.integers(len(x))
+        centres = np.concatenate([centres, x[[int(pick)]]])
+    labels = np.full(len(x), -1)
+    for _ in range(rounds):
+        d = ((x[:, None] - centres[None]) ** 2).sum(-1)
+        now = d.argmin(1)
+        if (now == labels).all():
+            break
+        labels = now
+        centres = np.stack([x[labels == c].mean(0) if (labels == c).any() else x[d.min(1).argmax()] for c in range(k)])
+    return labels, float(((x - centres[labels]) ** 2).sum())
+
+
+def fits(shapes: DataFrame, ks: list[int], seeds: int, starts: int, base_seed: int) -> DataFrame:
+    """(k, seed, zone_id, label, inertia): for each k and seed the best of some starts. One task per fit; its rows are the zones."""
+    jobs = shapes.sparkSession.createDataFrame([(k, s) for k in ks for s in range(seeds)], "k int, seed int")
+    rows = F.broadcast(jobs).crossJoin(shapes)  # fits, given by the caller, times zones
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("zone_id")
+        x, k, seed = part[SLOTS].to_numpy(float), int(part["k"].iloc[0]), int(part["seed"].iloc[0])
+        source = rng(base_seed, f"kmeans:{k}:{seed}")
+        labels, inertia = min((nearest_means(x, min(k, len(x)), source) for _ in range(starts)), key=lambda f: f[1])
+        first = {c: i for i, c in enumerate(dict.fromkeys(labels.tolist()))}  # numbered by the first zone
+        return pd.DataFrame({"k": k, "seed": seed, "zone_id": part["zone_id"], "label": [first[c] for c in labels.tolist()], "inertia": inertia})
+
+    return rows.groupBy("k", "seed").applyInPandas(fit, "k int, seed int, zone_id int, label int, inertia double")
+
+
+def cluster(shapes: DataFrame, k: int, starts: int = 20, seed: int = 7) -> DataFrame:
+    """(zone_id, segment) of the start with the least inertia."""
+    return fits(shapes, [k], 1, starts, seed).select("zone_id", F.col("label").alias("segment"))
+
+
+def diagnostics(shapes: DataFrame, ks: list[int] = CANDIDATES, starts: int = 10, seeds: int = 10, seed: int = 7) -> DataFrame:
+    """(k, inertia, silhouette, calinski_harabasz, stability, least_stability, largest_share, smallest, inertia_drop).
+
+    Each k is fitted once for its partition and `seeds` times more for its stability, the mean adjusted Rand index with that partition.
+    """
+    found = fits(shapes, ks, 1 + seeds, starts, seed).join(shapes, "zone_id")
+
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
+        own = part[part.seed == 0].sort_values("zone_id")
+        x, labels, k, inertia = own[SLOTS].to_numpy(float), own["label"].to_numpy(), int(own["k"].iloc[0]), float(own["inertia"].iloc[0])
         total = float(((x - x.mean(0)) ** 2).sum())
         ch = ((total - inertia) / (k - 1)) / (inertia / (len(x) - k)) if inertia > 0 and len(x) > k else 0.0
-        stable = float(np.mean([adjusted_rand(own, other) for i, other in enumerate(labels) if i != best])) if restarts > 1 else 1.0
-        rows.append((k, inertia, silhouette(x, own), ch, stable, float(np.bincount(own).max() / len(own))))
-    return shapes.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, calinski_harabasz double, stability double, largest_share double")
-
-
-def choose_k(rows: DataFrame, stability: float = 0.75, share: float = 0.60) -> int:
-    """The best silhouette among stable and balanced k, else among stable ones, else among all."""
-    table = rows.toPandas()
-    stable = table[table.stability >= stability]
-    for pool in (stable[stable.largest_share <= share], stable, table):
-        if len(pool):
-            return int(pool.sort_values(["silhouette", "k"], ascending=[False, True]).iloc[0].k)
-    raise ValueError("no candidates")
+        others = [adjusted_rand(labels, o.sort_values("zone_id")["label"].to_numpy()) for s, o in part.groupby("seed") if s] or [1.0]
+        sizes = np.bincount(labels, minlength=k)
+        return pd.DataFrame([(k, inertia, silhouette(x, labels), ch, float(np.mean(others)), float(np.min(others)), float(sizes.max() / len(x)), int(sizes.min()))],
+                            columns=["k", "inertia", "silhouette", "calinski_harabasz", "stability", "least_stability", "largest_share", "smallest"])
+
+    rows = found.groupBy("k").applyInPandas(judge, "k int, inertia double, silhouette double, calinski_harabasz double, stability double, least_stability double, largest_share double, smallest int")
+    return inertia_drop(rows)
+
+
+def inertia_drop(rows: DataFrame) -> DataFrame:
+    """Adds the share of the inertia that a further cluster saves; null for the first k."""
+    before = F.lag("inertia").over(Window.orderBy("k"))  # one row per k
+    return rows.withColumn("inertia_drop", (before - F.col("inertia")) / F.nullif(before, F.lit(0.0)))
+
+
+def criteria(rows: DataFrame, stability: float = 0.75, share: float = 0.60) -> DataFrame:
+    """Which k each criterion admits, and which is chosen: the best silhouette among stable and balanced k, else among stable ones, else among all."""
+    stable, balanced = F.col("stability") >= stability, F.col("largest_share") <= share
+    rank = F.when(stable & balanced, 0).when(stable, 1).otherwise(2)
+    order = Window.orderBy(rank, F.desc("silhouette"), "k")  # one row per k
+    return rows.select("k", "silhouette", "calinski_harabasz", stable.alias("passes_stability"), balanced.alias("passes_balance"), (stable & balanced).alias("admitted"),
+                       (F.row_number().over(order) == 1).alias("chosen"))
+
+
+def choose_k(rows: DataFrame) -> int:
+    found = criteria(rows).where("chosen").first()
+    if found is None:
+        raise ValueError("no candidates")
+    return found["k"]
 
 
 def describe(panel: Panel, segments: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from panelmill.sources.panel import Panel, from_events
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 FACT = "occupancy"
+#: Of the capacity study: worlds of each scenario, hours of its busiest stretch, points to place.
+SEEDS, STRETCH, BUDGETS = 20, 336, (50, 100, 200, 400, 800)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -49,17 +51,22 @@ adjacency AS (SELECT a.zone_id, b.zone_id AS neighbour_id FROM nations a JOIN na
 edges AS (SELECT DISTINCT zone_id, neighbour_id, 500.0::DOUBLE * abs(zone_id - neighbour_id) AS distance_m
   FROM (SELECT zone_id, neighbour_id FROM adjacency UNION ALL SELECT neighbour_id, zone_id FROM adjacency) WHERE zone_id <> neighbour_id),
 zones AS (SELECT n.zone_id, coalesce(c.capacity_points, 0)::INT AS capacity_points, coalesce(s.n_stations, 0)::BIGINT AS n_stations,
-    coalesce(s.charge_count, 0)::BIGINT AS charge_count, coalesce(d.n_neighbours, 0)::BIGINT AS n_neighbours FROM nations n
+    coalesce(s.charge_count, 0)::BIGINT AS charge_count, coalesce(d.n_neighbours, 0)::BIGINT AS n_neighbours, s.* EXCLUDE (zone_id, n_stations, charge_count) FROM nations n
   LEFT JOIN (SELECT zone_id, max(occupancy)::INT AS capacity_points FROM cells GROUP BY 1) c USING (zone_id)
-  LEFT JOIN (SELECT c_nationkey::INT AS zone_id, count(*) AS n_stations, sum(1 + c_custkey % 2) AS charge_count FROM customer GROUP BY 1) s USING (zone_id)
+  LEFT JOIN (SELECT c_nationkey::INT AS zone_id, count(*) AS n_stations, sum(1 + c_custkey % 2) AS charge_count, 1e6::DOUBLE * (c_nationkey + 1) AS area_m2,
+      4000.0::DOUBLE * (c_nationkey + 1) AS perimeter_m, avg(110 + c_custkey % 100 / 100.0::DOUBLE) AS centroid_lon, avg(20 + c_custkey % 50 / 100.0::DOUBLE) AS centroid_lat,
+      avg(1 + c_custkey % 2) AS mean_points_per_station, max(1 + c_custkey % 2)::BIGINT AS max_points_per_station, count(*) / (1.0::DOUBLE * (c_nationkey + 1)) AS station_density,
+      sum(1 + c_custkey % 2) / (1.0::DOUBLE * (c_nationkey + 1)) AS points_density, 4000.0::DOUBLE * (c_nationkey + 1) / (2 * sqrt(pi() * 1e6::DOUBLE * (c_nationkey + 1))) AS shape_index
+    FROM customer GROUP BY c_nationkey) s USING (zone_id)
   LEFT JOIN (SELECT zone_id, count(*) AS n_neighbours FROM edges GROUP BY 1) d USING (zone_id)),
 obs AS (SELECT z.zone_id, h.ts, h.hour_idx, coalesce(c.occupancy, 0) AS occupancy, coalesce(c.volume, 0) AS volume, coalesce(c.volume_11kw, 0) AS volume_11kw,
     coalesce(c.duration, 0) AS duration, 0.6::DOUBLE + 0.1::DOUBLE * (hour(h.ts) // 6) AS e_price, 0.4::DOUBLE AS s_price, z.capacity_points,
     coalesce(c.occupancy / nullif(z.capacity_points, 0), 0)::DOUBLE AS utilisation, h.ts::DATE AS obs_date, hour(h.ts)::INT AS hour_of_day,
     (isodow(h.ts) - 1)::INT AS day_of_week, (isodow(h.ts) >= 6)::INT AS is_weekend, (h.ts::DATE = DATE '2024-01-01')::INT AS is_holiday
   FROM zones z CROSS JOIN hours h LEFT JOIN cells c ON c.zone_id = z.zone_id AND c.ts = h.ts),
-weather AS (SELECT s.station, h.ts, h.hour_idx, w.v AS air_temp_c FROM (VALUES ('click', 'central'), ('view', 'airport')) s(kind, station) CROSS JOIN hours h
-  LEFT JOIN (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) AS v FROM events GROUP BY 1, 2) w ON w.ts = h.ts AND w.event_type = s.kind),
+weather AS (SELECT s.station, h.ts, h.hour_idx, w.air_temp_c, w.humidity_pct, w.rain_category, w.dewpoint_c FROM (VALUES ('click', 'central'), ('view', 'airport')) s(kind, station) CROSS JOIN hours h
+  LEFT JOIN (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) AS air_temp_c, max(value) AS humidity_pct, count(*) AS rain_category,
+    min(value) AS dewpoint_c FROM events GROUP BY 1, 2) w ON w.ts = h.ts AND w.event_type = s.kind),
 city AS (SELECT ts, hour_idx, sum(occupancy) AS occupancy, sum(volume) AS volume, sum(duration) AS duration, sum(occupancy) / nullif(sum(capacity_points), 0) AS utilisation FROM obs GROUP BY 1, 2),
 folds AS (SELECT k::INT AS fold, (432 + 72 * k)::INT AS test_start, (504 + 72 * k)::INT AS test_end FROM range(4) t(k)),
 denominators AS (SELECT fold, zone_id, nullif(avg(step), 0) AS denominator FROM (SELECT zone_id, hour_idx,
@@ -125,8 +132,9 @@ query("unpivot_long", "zone_id, ts, measure, " + r("value"), """FROM (SELECT zon
     lambda p: p.observations.unpivot(["zone_id", "ts"], ["occupancy", "volume", "duration"], "measure", "value"))
 query("align_long", "zone_id, ts, " + r("occupancy", "volume", "duration"), "FROM obs")(
     lambda p: files.build_long({m: p.observations.select("zone_id", "ts", m) for m in ("occupancy", "volume", "duration")}))
-query("zone_attributes", "*", "FROM zones")(lambda p: p.zones)
-query("weather_long", "station, ts, hour_idx, " + r("air_temp_c"), "FROM weather")(lambda p: p.weather)
+query("zone_attributes", "zone_id, capacity_points, n_stations, charge_count, n_neighbours, max_points_per_station, " + r(
+    "area_m2", "perimeter_m", "centroid_lon", "centroid_lat", "mean_points_per_station", "station_density", "points_density", "shape_index"), "FROM zones")(lambda p: p.zones)
+query("weather_long", "station, ts, hour_idx, rain_category, " + r("air_temp_c", "humidity_pct", "dewpoint_c"), "FROM weather")(lambda p: p.weather)
 query("edges_symmetrised", "zone_id, neighbour_id, " + r("distance_m"), "FROM edges")(lambda p: p.edges)
 query("edges_one_way", "zone_id, neighbour_id", "FROM adjacency a WHERE NOT EXISTS (SELECT 1 FROM adjacency b WHERE b.zone_id = a.neighbour_id AND b.neighbour_id = a.zone_id)")(
     lambda p: graph.one_way(p.adjacency))
@@ -155,7 +163,7 @@ query("summary_rows", "*", "FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS metri
     ("fact_rows", "count(*)", "obs"), ("zones", "count(DISTINCT zone_id)", "obs"), ("hours", "count(DISTINCT ts)", "obs"), ("total_volume", "sum(volume)", "obs"),
     ("total_volume_11kw", "sum(volume_11kw)", "obs"), ("point_hours", "sum(duration)", "obs"), ("mean_utilisation", "avg(utilisation)", "obs"),
     ("saturated_hours", "count(*) FILTER (utilisation >= 0.999)", "obs"), ("estimate_ratio", "sum(volume) / nullif(sum(volume_11kw), 0)", "obs"),
-    ("stations", "sum(n_stations)", "zones"), ("points", "sum(capacity_points)", "zones")]) + ")")(eda.summary_rows)
+    ("saturated_zones", "count(DISTINCT zone_id) FILTER (utilisation >= 0.999)", "obs"), ("stations", "sum(n_stations)", "zones"), ("points", "sum(capacity_points)", "zones")]) + ")")(eda.summary_rows)
 
 OVER = "OVER (PARTITION BY zone_id ORDER BY hour_idx)"
 
@@ -223,25 +231,26 @@ query("keep_last", "zone_id, obs_date, " + r("volume"), "FROM (SELECT *, row_num
     lambda p: files.keep_last(p.observations, ["zone_id", "obs_date"], ["hour_idx"]).select("zone_id", "obs_date", "volume"))
 query("asof_schedule", "hour_idx, (CASE WHEN hour_idx >= 100 THEN 100 + (hour_idx - 100) // 150 * 150 END)::INT AS refit_hour", "FROM hours")(
     lambda p: monitor.model_in_force(p.hours.select("hour_idx"), p.hours.where("hour_idx >= 100 and (hour_idx - 100) % 150 = 0")))
-EDGES = "edges10 AS (SELECT list_sort(list_distinct(quantile_cont(volume, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) AS es FROM obs WHERE hour_idx < 168)"
-ORACLE_MONITOR = f""", {EDGES}, placed AS (SELECT hour_idx, len(list_filter(es, lambda e: volume >= e)) AS bin, count(*) AS n FROM obs, edges10 GROUP BY 1, 2),
+EDGES = """edges10 AS (SELECT list_filter(list_sort(list_distinct(q)), lambda e: e > low AND e < high) AS es FROM (SELECT list_transform(quantile_cont(round(volume, 9), [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]), lambda e: round(e, 9)) AS q,
+    min(round(volume, 9)) AS low, max(round(volume, 9)) AS high FROM obs WHERE hour_idx < 168))"""
+MONITOR_CTE = f"""{EDGES}, placed AS (SELECT hour_idx, len(list_filter(es, lambda e: round(volume, 9) >= e)) AS bin, count(*) AS n FROM obs, edges10 GROUP BY 1, 2),
     dense AS (SELECT hour_idx, b.bin, coalesce(n, 0) AS n FROM hours CROSS JOIN (SELECT unnest(range(len(es) + 1)) AS bin FROM edges10) b LEFT JOIN placed USING (hour_idx, bin)),
     ref AS (SELECT bin, sum(n) / sum(sum(n)) OVER () AS e FROM dense WHERE hour_idx < 168 GROUP BY 1),
     win AS (SELECT hour_idx, bin, sum(n) OVER w AS n, count(*) OVER w AS hours_in FROM dense WINDOW w AS (PARTITION BY bin ORDER BY hour_idx ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)),
     act AS (SELECT hour_idx, bin, n / sum(n) OVER (PARTITION BY hour_idx) AS a, e FROM win JOIN ref USING (bin) WHERE hours_in = 168),
     gaps AS (SELECT hour_idx, (greatest(a, 1e-6) - greatest(e, 1e-6)) * ln(greatest(a, 1e-6) / greatest(e, 1e-6)) AS term,
-      abs(sum(a) OVER (PARTITION BY hour_idx ORDER BY bin) - sum(e) OVER (PARTITION BY hour_idx ORDER BY bin)) AS gap FROM act)
-    SELECT hour_idx, {r("sum(term) AS psi", "max(gap) AS ks")} FROM gaps GROUP BY 1"""
-query("input_monitor")(lambda p: monitor.input_monitor(p, "volume", 10, 168, 168))
-ORACLE["input_monitor"] = CTE + ORACLE_MONITOR
-CUSUM = f""", res AS (SELECT hour_idx, avg(e) AS m, avg(abs(e)) AS a FROM (SELECT hour_idx, {FACT} - lag({FACT}, 24) {OVER} AS e FROM obs) WHERE e IS NOT NULL GROUP BY 1),
+      abs(sum(a) OVER (PARTITION BY hour_idx ORDER BY bin) - sum(e) OVER (PARTITION BY hour_idx ORDER BY bin)) AS gap FROM act),
+    drifts AS (SELECT hour_idx, sum(term) AS psi, max(gap) AS ks FROM gaps GROUP BY 1),
+    res AS (SELECT hour_idx, avg(e) AS m, avg(abs(e)) AS a FROM (SELECT hour_idx, {FACT} - lag({FACT}, 24) {OVER} AS e FROM obs) WHERE e IS NOT NULL GROUP BY 1),
     base AS (SELECT avg(m) AS c, coalesce(nullif(stddev_pop(m), 0), 1) AS s FROM (SELECT * FROM res ORDER BY hour_idx LIMIT 168)),
-    zs AS (SELECT hour_idx, list((m - c) / s) OVER (ORDER BY hour_idx ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS z FROM res, base)
-    SELECT hour_idx, CASE WHEN len(z) = 48 THEN round(list_max(list_transform(range(1, 49), lambda i: greatest(0.0,
+    zs AS (SELECT hour_idx, list((m - c) / s) OVER (ORDER BY hour_idx ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS z FROM res, base),
+    cus AS (SELECT hour_idx, CASE WHEN len(z) = 48 THEN (list_max(list_transform(range(1, 49), lambda i: greatest(0.0,
       list_max(list_transform(range(1, i + 1), lambda j: list_sum(list_transform(z[j:i], lambda x: x - 0.5)))),
-      list_max(list_transform(range(1, i + 1), lambda j: list_sum(list_transform(z[j:i], lambda x: -x - 0.5))))))), 6) + 0.0 END AS cusum FROM zs"""
+      list_max(list_transform(range(1, i + 1), lambda j: list_sum(list_transform(z[j:i], lambda x: -x - 0.5)))))))) END AS cusum FROM zs)"""
+query("input_monitor")(lambda p: monitor.input_monitor(p, "volume", 10, 168, 168))
+ORACLE["input_monitor"] = f"{CTE}, {MONITOR_CTE} SELECT hour_idx, {r('psi', 'ks')} FROM drifts"
 query("cusum_monitor")(lambda p: monitor.cusum(monitor.residuals(p, FACT), 168, 48))
-ORACLE["cusum_monitor"] = CTE + CUSUM
+ORACLE["cusum_monitor"] = f"{CTE}, {MONITOR_CTE} SELECT hour_idx, {r('cusum')} FROM cus"
 
 
 def _top_overlap(panel: Panel, n: int) -> DataFrame:
@@ -251,20 +260,17 @@ def _top_overlap(panel: Panel, n: int) -> DataFrame:
     return top("u").intersect(top("v"))
 
 
-def _detection(panel: Panel) -> DataFrame:
-    statistic = monitor.input_monitor(panel, "volume", 10, 168, 168).where("hour_idx >= 168")
-    return monitor.detections(statistic, "psi", monitor.calibrate(statistic, "psi", (0.5, 1.0, 2.0, 5.0), 500), 500)
-
-
-def _scenarios(panel: Panel) -> DataFrame:
-    known = capacity.calibrate(panel)
-    best = {row["zone_id"]: row["added"] for row in capacity.greedy_allocation(capacity.marginal_gains(known, 20), 20).collect()}  # at most one row per zone
-    simulated = capacity.simulate(panel, known, {"no_investment": {}, "by_marginal_energy": best}, 3, 168, DEFAULT.base_seed)
-    return capacity.scenario_summary(simulated)
+def _retraining(panel: Panel) -> DataFrame:
+    start = panel.settings.hours - panel.settings.n_folds * panel.settings.test_hours
+    statistics = monitor.monitors(monitor.input_monitors(panel, FACT, 168, 168), monitor.residuals(panel, FACT), 168, 48)
+    thresholds = monitor.calibrate(statistics, (5.0,), monitor.mask((0, start - 1)))
+    above = statistics.join(F.broadcast(thresholds.select("monitor", "threshold")), "monitor").where("value > threshold")
+    alarms = {m: above.where(F.col("monitor") == m).select("hour_idx") for m in ("residual_mean_cusum", "input_psi")}
+    return models.retraining(panel, FACT, 6, models.schedules(panel, start, alarms, (72, 144), 72), start + 144)
 
 
 def _segments(panel: Panel) -> DataFrame:
-    shapes = segments.load_shapes(panel).persist()  # one row per zone, read by every fit
+    shapes = files.cached(segments.load_shapes(panel), files.work_dir(panel.observations.sparkSession, "shapes"))  # one row per zone, read by every fit
     return segments.describe(panel, segments.cluster(shapes, segments.choose_k(segments.diagnostics(shapes))))
 
 
@@ -274,16 +280,19 @@ def _break_match(panel: Panel) -> DataFrame:
 
 
 for _name, _make in {
-        "quality_suite": quality.quality_suite, "ewma_monitor": lambda p: monitor.ewma(monitor.residuals(p, FACT), 168), "detection_table": _detection,
         "breaks": lambda p: breaks.detect(breaks.deseasonalised(p)), "break_matches": _break_match,
-        "stable_period": lambda p: breaks.stable_period(breaks.detect(breaks.deseasonalised(p)).where("series = 'utilisation'"), 0, 30),
+        "stable_period": lambda p: breaks.monitoring_window(breaks.detect(breaks.deseasonalised(p)).where("series = 'utilisation' and method = 'pruned'"), 30),
         "anomaly_agreement": lambda p: anomaly.agreement(anomaly.flagged(p), "robust_flag", "forest_flag"),
         "anomaly_sample": lambda p: anomaly.sample_per_group(anomaly.flagged(p), "label", ["zone_id", "ts"], 5, 7),
         "ar_forecast": lambda p: models.autoregressive(p, FACT, 6), "zone_ridge_forecast": lambda p: models.zone_ridge(p, FACT, 6),
+        "zone_gbm_forecast": lambda p: models.zone_trees(p, FACT, 6),
         "global_ridge_forecast": lambda p: models.global_ridge(p, FACT, 6), "global_gbm_forecast": lambda p: models.global_trees(p, FACT, 6),
-        "retraining_backtest": lambda p: models.retraining(p, FACT, 6, 72, 432), "score_latest": lambda p: models.score_latest(p, FACT, 6),
-        "score_contract": lambda p: models.contract_violations(p.observations.drop("capacity_points"), p.zones),
-        "capacity_calibration": lambda p: capacity.calibrate(p).select("zone_id", "hour_idx", "kw", "service_hours", "offered"),
+        "model_grid": lambda p: models.run_grid(p, (FACT,), (6,), ("autoregressive", "zone_ridge", "zone_gbm", "global_ridge")),
+        "retraining_backtest": _retraining, "score_latest": lambda p: models.score_latest(p, FACT, 6),
+        "capacity_calibration": lambda p: capacity.calibrate(p).select("zone_id", "hour_idx", "kw", "kw_11", "service_hours", "offered"),
         "greedy_allocation": lambda p: capacity.greedy_allocation(capacity.marginal_gains(capacity.calibrate(p), 20), 20),
-        "capacity_scenarios": _scenarios, "kmeans_segments": _segments}.items():
+        "simulated_marginal": lambda p: capacity.simulated_marginal(p, capacity.calibrate(p), SEEDS, capacity.peak_stretch(p, STRETCH).first()["start"], STRETCH, DEFAULT.base_seed),
+        "capacity_scenarios": lambda p: capacity.scenarios(p, SEEDS, BUDGETS, STRETCH, DEFAULT.base_seed),
+        "capacity_sensitivity": lambda p: capacity.sensitivity(p, SEEDS // 2, STRETCH, DEFAULT.base_seed),
+        "segment_diagnostics": lambda p: segments.diagnostics(segments.load_shapes(p)), "kmeans_segments": _segments}.items():
     query(_name)(_make)

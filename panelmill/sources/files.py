@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelmill.functions.bookkeeping import LoadError
+
 # The two timestamp patterns of the input files.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 WEATHER_TIME_FORMAT = "yyyy/M/d H:mm"
@@ -18,7 +22,7 @@ def read_wide(spark: SparkSession, path: str, measure: str, fmt: str = TIME_FORM
     """A wide table (time, one column per zone) as (ts, zone_id, measure). A first column other than time, or a bad timestamp, raises."""
     names = spark.read.option("header", True).csv(path).columns
     if not names or names[0] != "time":
-        raise ValueError(f"{path}: the first column must be time, not {names[:1]}")
+        raise LoadError(f"{path}: the first column must be time, not {names[:1]}")
     schema = T.StructType([T.StructField("time", T.StringType())] + [T.StructField(n, T.DoubleType()) for n in names[1:]])
     wide = spark.read.option("header", True).schema(schema).csv(path)
     return (wide.withColumn("ts", F.expr(f"to_timestamp_ntz(time, '{fmt}')")).drop("time")
@@ -47,12 +51,25 @@ def assert_hourly(df: DataFrame, hours: DataFrame, label: str) -> None:
         raise ValueError(f"{label}: {faults}")
 
 
+#: Columns of a weather file and their names here.
+WEATHER_NAMES = {"T": "air_temp_c", "P0": "pressure_station", "P": "pressure_sea", "U": "humidity_pct", "nRAIN": "rain_category", "Td": "dewpoint_c"}
+
+
 def read_weather(spark: SparkSession, path: str, station: str) -> DataFrame:
-    """One station's weather with its names, station added. The first pressure column is at the station, the second at sea level."""
-    raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    names = {"T": "air_temp_c", "U": "humidity_pct", "nRAIN": "rain_category", "Td": "dewpoint_c"}
+    """One station's weather with its names, station added; a missing column or a bad timestamp raises."""
+    names = spark.read.option("header", True).csv(path).columns
+    if missing := sorted({"time", *WEATHER_NAMES} - set(names)):
+        raise LoadError(f"{path}: no column {', '.join(missing)}")
+    schema = T.StructType([T.StructField(n, T.StringType() if n == "time" else T.DoubleType()) for n in names])
+    raw = spark.read.option("header", True).schema(schema).csv(path)
     return raw.select(F.expr(f"to_timestamp_ntz(time, '{WEATHER_TIME_FORMAT}')").alias("ts"), F.lit(station).alias("station"),
-                      *[F.col(a).cast("double").alias(b) for a, b in names.items()])
+                      *[F.col(a).alias(b) for a, b in WEATHER_NAMES.items()])
+
+
+def load_weather(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The stations' weather side by side, one row per hour, columns with the station's name behind."""
+    tables = [read_weather(spark, path, station).select("ts", *[F.col(c).alias(f"{c}_{station}") for c in WEATHER_NAMES.values()]) for station, path in paths.items()]
+    return reduce(lambda a, b: a.join(b, "ts", "full"), tables)
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
@@ -73,16 +90,19 @@ def zone_attributes(stations: DataFrame, zone_ids: DataFrame) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """A square matrix with a header of zone ids as (zone_id, neighbour_id, value).
+    """A square matrix with a header of zone ids as (zone_id, neighbour_id, value); one that isn't square raises when it's read.
 
-    A row is named by its place, so the text is read as one file in one task; its size is zones squared, bounded by the panel's definition.
+    A row is named by its place, so the file is one text, cut into lines and cells by Spark; its size is zones squared, bounded by
+    the panel's definition.
     """
-    lines = [line.split(",") for line in spark.read.text(path, wholetext=True).first()[0].strip().splitlines()]
-    ids = [int(float(x)) for x in lines[0]]
-    if len(lines) - 1 != len(ids) or any(len(r) != len(ids) for r in lines[1:]):
-        raise ValueError(f"{path}: the matrix must be square")
-    rows = [(ids[i], ids[j], float(x)) for i, r in enumerate(lines[1:]) for j, x in enumerate(r)]
-    return spark.createDataFrame(rows, f"zone_id int, neighbour_id int, {value} double")
+    text = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "^\\s+|\\s+$|\\r", ""), "\n").alias("lines"))
+    heads = text.select(F.split(F.element_at("lines", 1), ",").alias("ids"), F.slice("lines", 2, F.greatest(F.lit(0), F.size("lines") - 1)).alias("rows"))
+    rows = heads.select("ids", F.size("rows").alias("n"), F.posexplode("rows").alias("i", "row")).withColumn("cells", F.split("row", ","))
+    square = (F.size("cells") == F.size("ids")) & (F.col("n") == F.size("ids"))
+    cells = F.when(square, F.col("cells")).otherwise(F.raise_error(F.lit(f"{path}: the matrix must be square")))
+    zone = lambda k: F.element_at("ids", k + 1).cast("double").cast("int")
+    return rows.select("ids", "i", F.posexplode(cells).alias("j", "x")).select(
+        zone(F.col("i")).alias("zone_id"), zone(F.col("j")).alias("neighbour_id"), F.col("x").cast("double").alias(value))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -94,8 +114,41 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one where it is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise LoadError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="panelmill-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def cached(df: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
+    """df as written below path; written first where there's nothing yet, or again on rebuild."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if rebuild or not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def append_rows(df: DataFrame, path: str, fields: list[str] | None = None) -> None:
+    """Append to a result table; other columns than those in fields are left out, and fields that df hasn't are null."""
+    names = fields or df.columns
+    df.select(*[F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names]).write.mode("append").parquet(path)
+
+
+def existing_keys(spark: SparkSession, path: str, key: str = "cell_key") -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(path).select(key).distinct()
+
+
+def consolidate(spark: SparkSession, paths: list[str], keys: list[str], order: list[str], out: str) -> DataFrame:
+    """The rows of several shards, the last of each key, written as one table."""
+    merged = keep_last(spark.read.option("mergeSchema", True).parquet(*paths), keys, order)
+    merged.write.mode("overwrite").parquet(out)
+    return spark.read.schema(merged.schema).parquet(out)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list) -> DataFrame:

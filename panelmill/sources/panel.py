@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelmill.operators import graph
 from panelmill.settings import DEFAULT, Settings
+from panelmill.sources.files import zone_attributes
 
 
 @dataclass(frozen=True)
@@ -72,25 +73,28 @@ def from_events(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT)
     sparse = cells(events, settings)
     dense = densify(sparse, nation, hours)
     capacity = sparse.groupBy("zone_id").agg(F.max("occupancy").cast("int").alias("capacity_points"))
-    stations = (read("customer").groupBy(F.col("c_nationkey").cast("int").alias("zone_id"))
-                .agg(F.count("*").alias("n_stations"), F.sum(1 + F.col("c_custkey") % 2).alias("charge_count")))
+    key, place = F.col("c_custkey"), F.col("c_nationkey").cast("int")
+    stations = read("customer").select(
+        key.alias("station_id"), (110 + key % 100 / 100.0).alias("longitude"), (20 + key % 50 / 100.0).alias("latitude"), (1 + key % 2).alias("charge_count"),
+        place.alias("TAZID"), (1e6 * (place + 1)).alias("area"), (4000.0 * (place + 1)).alias("perimeter"))
+    attributes = zone_attributes(stations, nation).withColumnRenamed("capacity_points", "charge_count")
     pairs = nation.alias("a").join(F.broadcast(nation.alias("b")), "region_id").select(
         F.col("a.zone_id").alias("zone_id"), F.col("b.zone_id").alias("neighbour_id"))
     adjacency = pairs.where("zone_id = neighbour_id or zone_id < neighbour_id or (zone_id + neighbour_id) % 3 <> 0")
     edges = graph.symmetrise(adjacency).withColumn("distance_m", 500.0 * F.abs(F.col("zone_id") - F.col("neighbour_id")))
-    zones = (nation.join(capacity, "zone_id", "left").join(stations, "zone_id", "left")
+    zones = (nation.select("zone_id").join(capacity, "zone_id", "left").join(attributes, "zone_id", "left")
              .join(graph.degree(nation, edges), "zone_id")
-             .select("zone_id", F.coalesce("capacity_points", F.lit(0)).alias("capacity_points"), F.coalesce("n_stations", F.lit(0)).alias("n_stations"),
-                     F.coalesce("charge_count", F.lit(0)).alias("charge_count"), "n_neighbours"))
+             .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("capacity_points", "n_stations", "charge_count")}))
     tariff = {"e_price": 0.6 + 0.1 * F.floor(F.hour("ts") / 6), "s_price": F.lit(0.4)}
     used = F.coalesce(F.col("occupancy") / F.nullif("capacity_points", F.lit(0)), F.lit(0.0))
     observations = with_calendar(
         dense.join(F.broadcast(zones.select("zone_id", "capacity_points")), "zone_id").withColumns(tariff).withColumn("utilisation", used), settings)
     kinds = {"click": "central", "view": "airport"}
-    hourly = (events.where(F.col("event_type").isin(*kinds)).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
-              .pivot("event_type", list(kinds)).agg(F.avg("value")))
-    one = lambda kind, name: hours.join(hourly, "ts", "left").select("ts", "hour_idx", F.lit(name).alias("station"), F.col(kind).alias("air_temp_c"))
-    weather = one("click", "central").unionByName(one("view", "airport"))
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("event_type"))
+    hourly = (events.where(F.col("event_type").isin(*kinds)).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), named.alias("station"))
+              .agg(F.avg("value").alias("air_temp_c"), F.max("value").alias("humidity_pct"), F.count("*").alias("rain_category"), F.min("value").alias("dewpoint_c")))
+    grid = hours.withColumn("station", F.explode(F.array(*[F.lit(n) for n in kinds.values()])))
+    weather = grid.join(hourly, ["ts", "station"], "left").select("ts", "hour_idx", "station", "air_temp_c", "humidity_pct", "rain_category", "dewpoint_c")
     return Panel(observations, zones, weather, adjacency, edges, hours, settings)
 
 
@@ -98,3 +102,17 @@ def register(panel: Panel, prefix: str = "") -> None:
     """The four tables as temporary views, for SQL over them."""
     for name in ("observations", "zones", "weather", "edges"):
         getattr(panel, name).createOrReplaceTempView(f"{prefix}{'zone_edges' if name == 'edges' else name}")
+
+
+TABLES = ("observations", "zones", "weather", "edges")
+
+
+def write_tables(panel: Panel, path: str) -> dict[str, DataFrame]:
+    """The four reporting tables below path, read back; facts are partitioned by day."""
+    out = {}
+    for name in TABLES:
+        df = getattr(panel, name)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy("obs_date") if name == "observations" else writer).parquet(f"{path}/{name}")
+        out[name] = df.sparkSession.read.parquet(f"{path}/{name}")
+    return out

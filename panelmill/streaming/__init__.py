@@ -1 +1 @@
-"""Streaming of the panel engine."""
+"""Streaming ingestion of the panel."""
