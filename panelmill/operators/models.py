@@ -15,6 +15,7 @@ from panelmill.functions.seeds import cell_key
 from panelmill.operators.features import CALENDAR, autoregressive_lags, build_features, by_zone, calendar_columns, design, feature_names, usable_columns
 from panelmill.operators.forecasts import BASELINES, baselines, clip, denominators, make_folds, score_columns
 from panelmill.operators.monitor import trigger_schedule
+from panelmill.sources.files import cached, work_dir
 from panelmill.sources.panel import Panel, hour_table, with_calendar
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -101,6 +102,12 @@ def training_rows(panel: Panel, target: str, horizon: int, static: bool) -> tupl
     return rows.select("zone_id", "hour_idx", "y", "ceiling", *names).dropna(subset=names), names
 
 
+def settled_rows(panel: Panel, target: str, horizon: int, static: bool) -> tuple[DataFrame, list[str]]:
+    """`training_rows` written once, for fits that read them several times."""
+    rows, names = training_rows(panel, target, horizon, static)
+    return cached(rows, work_dir(rows.sparkSession, "rows")), names
+
+
 def zone_level(panel: Panel, target: str, folds: list[tuple[int, int, int]]) -> DataFrame:
     """(fold, zone_id, zone_mean, zone_std) of the training hours: how the pooled models know a zone."""
     table = panel.observations.sparkSession.createDataFrame(folds, "fold int, test_start int, test_end int")
@@ -223,7 +230,7 @@ def global_ridge(panel: Panel, target: str, horizon: int) -> DataFrame:
 
     Blocks are what a fold trains on and holds out inside, so one pass of Gram sums fits every fold, and one more scores the alphas.
     """
-    rows, names = training_rows(panel, target, horizon, static=True)
+    rows, names = settled_rows(panel, target, horizon, static=True)
     folds = make_folds(panel.settings)
     known = names + ["zone_mean", "zone_std"]
     first = panel.settings.warmup - 1 + horizon
@@ -253,8 +260,8 @@ def global_trees(panel: Panel, target: str, horizon: int, settings: tuple[tuple[
 
     Of several settings (iterations, step, depth) the last quarter of the first training hours chooses one.
     """
-    rows, names = training_rows(panel, target, horizon, static=True)
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows).persist()  # each boosting round reads them again
+    rows, names = settled_rows(panel, target, horizon, static=True)
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)  # each boosting round reads them again, from the written rows
     folds = make_folds(panel.settings)
 
     def fit(before: int, setting: tuple[int, float, int]):
@@ -321,7 +328,7 @@ def retraining(panel: Panel, target: str, horizon: int, policies: dict[str, list
 
     Blocks end at every hour at which some policy refits, so one pass of Gram sums fits the models of all policies.
     """
-    rows, names = training_rows(panel, target, horizon, static=True)
+    rows, names = settled_rows(panel, target, horizon, static=True)
     refits = sorted({h for hours in policies.values() for h in hours})
     start = refits[0]
     block = sum((F.col("hour_idx") >= h).cast("int") for h in refits)

@@ -263,6 +263,7 @@ def _top_overlap(panel: Panel, n: int) -> DataFrame:
 def _retraining(panel: Panel) -> DataFrame:
     start = panel.settings.hours - panel.settings.n_folds * panel.settings.test_hours
     statistics = monitor.monitors(monitor.input_monitors(panel, FACT, 168, 168), monitor.residuals(panel, FACT), 168, 48)
+    statistics = files.cached(statistics, files.work_dir(panel.observations.sparkSession, "statistics"))  # read for thresholds and by every monitor
     thresholds = monitor.calibrate(statistics, (5.0,), monitor.mask((0, start - 1)))
     above = statistics.join(F.broadcast(thresholds.select("monitor", "threshold")), "monitor").where("value > threshold")
     alarms = {m: above.where(F.col("monitor") == m).select("hour_idx") for m in ("residual_mean_cusum", "input_psi")}
