@@ -169,7 +169,7 @@ def format_chats(df: DataFrame, with_output: bool = False, template: Callable[[l
     # as text: pandas would turn a column of long with nulls into floats
     rows = df.select(F.col("conv_id").cast("long").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                      F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
+    dealt = rows.repartition(F.xxhash64("conv_id")).sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
     return dealt.select("conv_id", "role", "text").mapInPandas(work, fields)
 
 

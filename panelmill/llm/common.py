@@ -82,6 +82,15 @@ def scatter_width(spark: SparkSession, df: DataFrame | None = None, per: int = 3
     return wide if read is None else max(wide, -(-read // per))
 
 
+def deal(df: DataFrame, keys: list[str], order: list[str], wide: int) -> DataFrame:
+    """Rows of equal keys in one task, sorted by keys and order.
+
+    Dealt by a hash of the keys: a plain repartition by the keys of a join before it is taken to be done already, and if adaptive
+    execution then splits that join, or makes it a broadcast that reads its shuffle locally, rows of equal keys are parted.
+    """
+    return df.repartition(wide, F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Split a stream of frames sorted by keys into one frame for each run of equal keys."""
     held: list[pd.DataFrame] = []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import blocks, components, groups, scatter_width, settle, spanning
+from panelmill.llm.common import blocks, components, deal, groups, scatter_width, settle, spanning
 
 
 @dataclass(frozen=True)
@@ -285,7 +285,7 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "vec_
     many = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     split = blocks(cells.join(many, "cell"), "cell", "n", max(1, s.cell // 2))
     split = split.join(nodes.select("node", "v", F.col("many").alias("weight")), "node").select("cell", "i", "j", "part", "turn", "node", "weight", "keys", "v")
-    dealt = split.repartition(scatter_width(df.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "part", "node")
+    dealt = deal(split, ["cell", "i", "j"], ["part", "node"], scatter_width(df.sparkSession))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
@@ -342,8 +342,9 @@ def near_duplicates(df: DataFrame, s: Settings = Settings(), id_col: str = "vec_
     if not hot.isEmpty():
         flagged = split.join(hot.withColumn("hot", F.lit(True)), "node", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         near = flagged.join(flagged.where("hot").select("cell", "i", "j").distinct(), ["cell", "i", "j"])
-        near = near.select("cell", "i", "j", "part", "turn", "node", "weight", "keys", "v", "hot").repartition(scatter_width(df.sparkSession), "cell", "i", "j")
-        exact = settle(near.sortWithinPartitions("cell", "i", "j", "part", "node").mapInArrow(search, "a long, b long, links long"))
+        near = near.select("cell", "i", "j", "part", "turn", "node", "weight", "keys", "v", "hot")
+        near = deal(near, ["cell", "i", "j"], ["part", "node"], scatter_width(df.sparkSession))
+        exact = settle(near.mapInArrow(search, "a long, b long, links long"))
         edges = edges.union(exact.where("b is not null").select("a", "b"))
         links = links.union(exact.where("b is null").select("a", "links"))
     links = links.groupBy("node").agg(F.sum("links").alias("links"))

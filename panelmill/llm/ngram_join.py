@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import blocks, components, fresh, groups, scatter_width, settle, spanning
+from panelmill.llm.common import blocks, components, deal, fresh, groups, scatter_width, settle, spanning
 from panelmill.llm.shingles import minhash, permutations, shingle_set
 
 
@@ -124,8 +124,7 @@ def candidate_edges(nodes: DataFrame, s: Settings) -> DataFrame:
     many = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     # a node of which all bands are its own has no partner: the rest get their signature back
     rows = blocks(banded.join(many, "band"), "band", "n", s.block).join(nodes.select("node", "signature"), "node")
-    wide = scatter_width(nodes.sparkSession)
-    dealt = rows.select("band", "i", "j", "part", "node", "signature").repartition(wide, "band", "i", "j").sortWithinPartitions("band", "i", "j", "part", "node")
+    dealt = deal(rows.select("band", "i", "j", "part", "node", "signature"), ["band", "i", "j"], ["part", "node"], scatter_width(nodes.sparkSession))
     needed = least_matches(s)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +174,7 @@ def verify(docs: DataFrame, members: DataFrame, s: Settings, id_col: str, text_c
 
     sets = texts.mapInArrow(shingle, "root long, n long, node long, many long, signature binary, shingles binary")
     rows = blocks(sets, "root", "n", s.block // 2).select("root", "i", "j", "part", "node", "many", "signature", "shingles")
-    dealt = rows.repartition(scatter_width(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "part", "node")
+    dealt = deal(rows, ["root", "i", "j"], ["part", "node"], scatter_width(docs.sparkSession))
     needed = least_matches(s)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -242,6 +242,21 @@ def test_a_link_missed_in_one_cell_counts_in_another(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute_links(rows)
 
 
+def test_a_label_of_several_cells_at_production_settings(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(17000, 32))
+    v = np.concatenate([base, base[:600] + rng.normal(size=(600, 32)) * 0.12, base[5000] + rng.normal(size=(150, 32)) * 0.09]).astype(np.float32)
+    label = np.where(np.arange(len(v)) % 1700 == 3, 2, 1)  # some twins lie across labels
+    df = spark.createDataFrame([(i, x, int(k)) for i, (x, k) in enumerate(zip(v.tolist(), label))], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = np.zeros(len(v), int)
+    for r in neighbours.near_duplicates(df).collect():
+        got[r.vec_id] = r.n_links
+    u, want = neighbours.unit(v), np.zeros(len(v), int)
+    for lo in range(0, len(u), 1000):
+        want[lo : lo + 1000] = ((u[lo : lo + 1000] @ u.T >= 0.98) & (label[lo : lo + 1000, None] == label)).sum(1) - 1
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() > 20000
+
+
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=25))
 @settings(max_examples=5, deadline=None)
 def test_components(spark, edges):
