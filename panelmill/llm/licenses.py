@@ -163,7 +163,9 @@ class Scanner:
         self.vocabulary = frozenset(w for ws in self.templates.values() for w in ws)
 
     def scan(self, words: list[str]) -> list[dict]:
-        """Each template found in the words of a text, with coverage and the first and last matched word's number.
+        """Each place of each template in the words of a text, with coverage and the first and last matched word's number.
+
+        Places of one template don't overlap: the one with most matched words stays, of equals the first.
 
         A template is tried wherever its words could reach the coverage: stretches of the text in which
         its words follow one another by gaps of at most twice its length, cut into windows of two and of three
@@ -182,17 +184,20 @@ class Scanner:
             if sum(min(k, len(at.get(w, ()))) for w, k in self.sets[name].items()) < self.least * n:
                 continue
             places = sorted(i for w in self.sets[name] for i in at.get(w, ()))
-            best = None
+            places_of: list[tuple[int, int, int]] = []
             for lo, hi in self._windows(places, n):
                 have = Counter(words[lo:hi])
                 if sum(min(k, have[w]) for w, k in self.sets[name].items()) < self.least * n:
                     continue
                 matched = align(words[lo:hi], template)
-                if len(matched) >= self.least * n and (best is None or len(matched) > best[0]):
-                    best = (len(matched), lo + matched[0][0], lo + matched[-1][0])
-            if best:
-                out.append({"license": name, "coverage": best[0] / n, "matched": best[0], "first_word": best[1], "last_word": best[2]})
-        return sorted(out, key=lambda x: (-x["coverage"], -x["matched"], x["license"]))
+                if len(matched) >= self.least * n:
+                    places_of.append((-len(matched), lo + matched[0][0], lo + matched[-1][0]))
+            taken: list[tuple[int, int]] = []
+            for matched_less, first, last in sorted(set(places_of)):
+                if all(last < a or b < first for a, b in taken):
+                    taken.append((first, last))
+                    out.append({"license": name, "coverage": -matched_less / n, "matched": -matched_less, "first_word": first, "last_word": last})
+        return sorted(out, key=lambda x: (-x["coverage"], -x["matched"], x["license"], x["first_word"]))
 
     @staticmethod
     def _windows(places: list[int], n: int) -> Iterator[tuple[int, int]]:
@@ -215,7 +220,7 @@ FOUND = "array<struct<license: string, coverage: double, matched: int, first_wor
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES,
                   least: float = 0.8) -> DataFrame:
-    """One row per row: doc_id, license (the best covered, null if none), coverage (0 if none), n_licenses, licenses (all).
+    """One row per row: doc_id, license (the best covered, null if none), coverage (0 if none), n_licenses, licenses (all places of all licenses).
 
     Whole texts are read, one text at a time. Null and empty texts have no license; equal
     coverage goes to the longer match, then to the lesser name; repeated rows give equal results;

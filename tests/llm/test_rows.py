@@ -129,6 +129,13 @@ def test_common_headers_and_texts_are_known():
     assert scanner.scan(licenses.words_of(header))[0]["license"] == "GPL-3.0-or-later-header"
 
 
+def test_all_places_of_a_license_are_found():
+    template = [f"t{i}" for i in range(30)]
+    other = [f"o{i}" for i in range(500)]
+    found = licenses.Scanner({"x": " ".join(template)}).scan(other[:50] + template + other[50:400] + template[:27] + other[400:])
+    assert [(f["first_word"], f["last_word"], f["matched"]) for f in found] == [(50, 79, 30), (430, 456, 27)]
+
+
 def test_a_match_of_two_distant_halves_is_found():
     template = [f"t{i}" for i in range(40)]
     assert licenses.Scanner({"x": " ".join(template)}).scan(template[:17] + ["other"] * 42 + template[-17:])
