@@ -26,7 +26,7 @@ GRAM = 16
 #: Windows handled at once, and at most in one run of windows.
 BLOCK, LONGEST_RUN = 1 << 19, 256
 #: Entries announced together; bytes of texts whose runs travel together; bytes in one transform.
-ANNOUNCE, FLUSH, TRANSFORM = 1 << 19, 1 << 21, 1 << 19
+ANNOUNCE, FLUSH, TRANSFORM = 1 << 19, 1 << 21, 1 << 16
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
